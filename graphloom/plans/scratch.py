@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
-        return configured.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(configured)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components, links, node_groups
 from graphloom.llm.copies import collapse, copy_members, entity_records, node_records
+from graphloom.llm.leakage import leaked_spans
+from graphloom.llm.packing import fill_report, pack, pack_documents, token_count
+from graphloom.plans.scratch import cut
 from graphloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -90,3 +93,38 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 )
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return node_groups(table(spark, d, "nodes", "id", "label"), table(spark, d, "match_pairs", "left_id", "right_id", "score"))
+
+
+@query("p7_pack")
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents", "doc_id", "text"), 2048)
+
+
+@query("p7_pack_8192")
+def p7_pack_8192(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents", "doc_id", "text"), 8192)
+
+
+@query("p7_fill")
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(table(spark, d, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("tokens")), "sized")
+    return fill_report(pack(sized, 2048), 2048).unionByName(fill_report(pack(sized, 8192), 8192))
+
+
+@query("p8_spans")
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_spans(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+@query(
+    "p8_found",
+    r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+""",
+)
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from graphloom.operators.components import arcs, star_roots
 from graphloom.plans.scratch import Scratch
 from graphloom.plans.skew import heavy_keys, salted_join
 
@@ -27,10 +28,6 @@ def links(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
-def _arcs(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("a")).select("a.x", "a.y")
-
-
 def _rank_chains(degree: DataFrame, scratch: Scratch) -> DataFrame:
     """``x, e1, e2, low`` per degree-two vertex: the ends of its chain, or (e1 null) the least id of its pure cycle.
 
@@ -68,33 +65,6 @@ def _rank_chains(degree: DataFrame, scratch: Scratch) -> DataFrame:
     return state.groupBy("x").agg(F.min(end).alias("e1"), F.max(end).alias("e2"), F.min("low").alias("low"))
 
 
-def _core(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``x, root`` of the vertices of the reduced core, by alternating large and small stars."""
-    current, path = edges, None
-    while True:
-        arcs, arcs_path = scratch.put(_arcs(current), "arcs")
-        low = arcs.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        heavy = heavy_keys(arcs, "x")
-        large = salted_join(arcs, low, "x", heavy, F.col("y")).where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
-        large, large_path = scratch.put(large, "large")
-        down = large.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        least = down.groupBy("x").agg(F.min("y").alias("m"))
-        heavy = heavy_keys(down, "x")
-        small = salted_join(down, least, "x", heavy, F.col("y"))
-        small = small.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("y").alias("v")), F.struct(F.col("m").alias("u"), F.col("x").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        seen = Observation()
-        small, new = scratch.put(small.observe(seen, F.count(F.lit(1)).alias("n")), "small")
-        stars = small.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0 and (
-            small.select(F.col("u").alias("v")).join(small.select("v"), "v", "left_semi").limit(1).count() == 0
-        )
-        scratch.drop(arcs_path)
-        scratch.drop(large_path)
-        scratch.drop(path)
-        current, path = small, new
-        if stars:
-            return current.select(F.col("v").alias("x"), F.col("u").alias("root"))
-
-
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``node_id, group_id`` for every vertex of ``edges`` (u < v, distinct); group_id is the smallest id of the group.
 
@@ -109,7 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if not size:
             break
         degree, degree_path = scratch.put(
-            _arcs(current).groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.min("y").alias("a"), F.max("y").alias("b")).where("d <= 2"), "degree"
+            arcs(current).groupBy("x").agg(F.count(F.lit(1)).alias("d"), F.min("y").alias("a"), F.max("y").alias("b")).where("d <= 2"), "degree"
         )
         ranked, ranked_path = scratch.put(_rank_chains(degree, scratch), "chains")
         # A leaf on a chain stays as the chain's end. Keys are single vertices of degree <= 2, met at most twice.
@@ -138,7 +108,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
 
     if size:
-        labels = _core(current, scratch)
+        labels = star_roots(current, scratch)
     else:
         labels = current.select(F.col("u").alias("x"), F.col("v").alias("root"))
     for parents in reversed(removed):

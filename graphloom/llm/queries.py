@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components, links, node_groups
 from graphloom.llm.copies import collapse, copy_members, entity_records, node_records
+from graphloom.llm.handwritten import foreign_files
 from graphloom.llm.leakage import leaked_spans
 from graphloom.llm.packing import fill_report, pack, pack_documents, token_count
+from graphloom.llm.subjects import subject_areas
 from graphloom.plans.scratch import cut
 from graphloom.sources.tables import table
 
@@ -128,3 +130,36 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 )
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+@query("p3_reasons")
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return foreign_files(table(spark, d, "source_files", "path", "repo", "text"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_reasons(spark, d).select("path").distinct()
+
+
+def _subject_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return (
+        table(spark, d, "documents", "doc_id", "text", "source"),
+        table(spark, d, "subject_labels", "doc_id", "subject"),
+        table(spark, d, "subjects", "subject"),
+        table(spark, d, "eval_items", "text"),
+    )
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(*_subject_tables(spark, d)).distinct()
+
+
+@query("p9_composition")
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject, source and language; documents without subject count under ''."""
+    documents = table(spark, d, "documents", "doc_id", "source", "lang")
+    found = documents.join(subject_areas(*_subject_tables(spark, d)), "doc_id", "left")
+    cell = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return found.groupBy(cell("subject"), cell("source"), F.lower(cell("lang")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.scratch import fresh_path
+from graphloom.plans.scratch import cut, fresh_path
 from graphloom.plans.skew import heavy_keys, salted_join
 
 SEGMENT_BITS = 1 << 22
@@ -203,7 +203,7 @@ def copy_members(records: DataFrame) -> DataFrame:
     are aggregated before the shuffle and heavy ones are salted when their members look up the first key.
     """
     rows = records.select("key", "canon", F.xxhash64("canon").alias("h")).where("key is not null and canon is not null")
-    repeats = rows.where(possible_repeats(rows, "h")).distinct()
+    repeats = cut(rows.where(possible_repeats(rows, "h")).distinct(), "repeats")
     groups = repeats.groupBy("h", "canon").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     sized = salted_join(repeats, groups.withColumnRenamed("canon", "_canon"), "h", heavy_keys(repeats, "h"), F.col("key"))
     return sized.where("canon = _canon and key > first_key").select("first_key", F.col("key").alias("copy_key"), "copies")

@@ -34,7 +34,8 @@ OPEN_SEGMENTS = 64
 
 def bare(text: Column) -> Column:
     """Letters and digits of ``text`` in their order, case folded; null becomes ''."""
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", "")))
+    folded = F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", "")))
+    return F.replace(folded, F.lit("ß"), F.lit("ss"))
 
 
 def bare_fields(props: Column) -> Column:

@@ -38,7 +38,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bare(x: str) -> str:
-    return f"lower(upper(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+    return f"replace(lower(upper(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))), 'ß', 'ss')"
 
 
 _CANON = f"""

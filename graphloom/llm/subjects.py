@@ -3,8 +3,8 @@
 A sentence mixture model is fitted on labelled documents: every sentence treats one subject or none, a document's labels
 say which subjects its sentences may treat (leaving room for wrong and missing labels), and expectation maximisation
 finds which words speak for which subject. Only words enter whose documents' labels differ from all documents' labels
-beyond chance, so that no subject can claim a language or a turn of phrase; whole sentences that recur under all labels
-alike are set phrases and treat nothing. Sentences of given background texts (test items) are held to no subject.
+beyond chance, so that no subject can claim a language or a turn of phrase; sentences that recur, names and numbers
+aside, under all labels alike are set phrases and treat nothing. Sentences of given background texts (test items) are held to no subject.
 
 For any document the fitted model yields, per subject, the share of its topical sentences. On these term features, the
 document's source and its structure a chain of logistic classifiers is trained, one per subject from the most frequent
@@ -34,15 +34,17 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 20_000
 SAMPLE_CHARS = 30_000_000
 #: A term speaks for subjects if the divergence of its labels is this large, in nats and as likelihood-ratio statistic.
-DIVERGENCE, SIGNIFICANCE = 0.25, 38.0
-#: A sentence that recurs in so many labelled documents without such divergence is a set phrase.
-PHRASE_DOCS = 6
+DIVERGENCE, SIGNIFICANCE = 0.25, 18.0
+#: A sentence that recurs in so many labelled documents with less divergence is a set phrase.
+PHRASE_DOCS = 20
+#: Words of so large a share of the documents stay in the key of a set phrase, other words are blanks in it.
+FRAME_SHARE = 0.02
 ROUNDS = 12
 BEAM = 4
 #: Chance left to subjects a document was not labelled with.
 STRAY = 0.02
 #: Weight of no subject for the telling sentences of a document that has labels.
-NO_SUBJECT = 0.05
+NO_SUBJECT = 0.001
 TOKEN_BLOCK = 200_000
 
 _FRONT = re.compile(r"\A﻿?\s*---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
@@ -96,19 +98,25 @@ class Model:
     prior: np.ndarray
     sources: dict[str, int]
     phrases: frozenset[str] = frozenset()
+    frame: frozenset[str] = frozenset()
     order: list[int] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     scale: list[tuple[float, float]] = field(default_factory=list)
 
 
-def _encode(docs: list[list[list[str]]], terms: dict[str, int], phrases: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def phrase_key(words: list[str], terms: dict[str, int], frame: frozenset[str]) -> str:
+    """The sentence with its telling and its everyday words, others blanked."""
+    return " ".join(w if w in terms or w in frame else "*" for w in words)
+
+
+def _encode(docs: list[list[list[str]]], terms: dict[str, int], phrases: frozenset[str], frame: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term per token, tokens per sentence, document per sentence; set phrases have no tokens."""
     tokens, lengths, owner = [], [], []
     get = terms.get
     for d, sents in enumerate(docs):
         for words in sents:
             ids = [t for t in map(get, words) if t is not None]
-            if ids and " ".join(words) in phrases:
+            if ids and phrase_key(words, terms, frame) in phrases:
                 ids = []
             tokens.extend(ids)
             lengths.append(len(ids))
@@ -141,8 +149,9 @@ def _by_doc(values: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     return np.stack([np.bincount(owner, values[:, k], docs) for k in range(values.shape[1])], axis=1) if len(owner) else np.zeros((docs, values.shape[1]))
 
 
-def telling(units: list[set[str]], labels: np.ndarray) -> tuple[dict[str, np.ndarray], Counter]:
-    """Units (words or sentences) whose documents are labelled unlike all documents, beyond chance; and documents per unit.
+def telling(units: list[set[str]], labels: np.ndarray) -> tuple[set[str], set[str]]:
+    """Units (words or sentences) whose documents are labelled unlike all documents, beyond chance; and those that recur
+    under all labels alike.
 
     ``labels`` (docs x classes) has rows of sum one.
     """
@@ -154,14 +163,16 @@ def telling(units: list[set[str]], labels: np.ndarray) -> tuple[dict[str, np.nda
         for u in doc:
             if seen[u] >= 2:
                 sums[u] = sums[u] + row if u in sums else row
-    out = {}
+    telling_, common = set(), set()
     for u, c in sums.items():
         n = seen[u]
         p = (c + 3 * usual) / (n + 3)
         divergence = float((p * np.log(p / usual)).sum())
         if divergence >= DIVERGENCE and 2 * n * divergence >= SIGNIFICANCE:
-            out[u] = p
-    return out, seen
+            telling_.add(u)
+        elif divergence < DIVERGENCE and n >= PHRASE_DOCS:
+            common.add(u)
+    return telling_, common
 
 
 def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str], sources: dict[str, int], plain: list[list[list[str]]] = ()) -> Model:
@@ -170,9 +181,9 @@ def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str
     labels = np.column_stack([none, truth])
     labels = labels / labels.sum(axis=1, keepdims=True)
     words, _ = telling([{w for s in sents for w in s} for sents in docs], labels)
-    whole = [{" ".join(s) for s in sents} for sents in docs]
-    special, seen = telling(whole, labels)
-    phrases = frozenset(u for u, n in seen.items() if n >= PHRASE_DOCS and u not in special)
+    everyday = Counter(w for sents in docs for w in {w for s in sents for w in s})
+    frame = frozenset(w for w, n in everyday.items() if n >= FRAME_SHARE * len(docs) and w not in words)
+    _, phrases = telling([{phrase_key(s, words, frame) for s in sents} for sents in docs], labels)
     terms = {t: i for i, t in enumerate(sorted(words))}
     allowed = np.full((len(docs) + len(plain), 1 + len(subjects)), 1e-6)
     allowed[: len(docs)] = STRAY
@@ -180,7 +191,7 @@ def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str
     allowed[: len(docs), :1] = np.where(none, 1.0, NO_SUBJECT)
     allowed[len(docs) :, 0] = 1.0
     docs = [*docs, *plain]
-    tokens, lengths, owner = _encode(docs, terms, phrases)
+    tokens, lengths, owner = _encode(docs, terms, frozenset(phrases), frame)
     classes = allowed.shape[1]
     background = (np.bincount(tokens, minlength=len(terms)) + 1.0) / (len(tokens) + len(terms) + 1.0) if terms else np.ones(0)
     share = allowed / allowed.sum(axis=1, keepdims=True)
@@ -196,12 +207,12 @@ def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str
         resp = _soft(_evidence(tokens, lengths, logp) + np.log(mix + 1e-9)[owner]) if len(owner) else resp
     told = resp[lengths > 0]
     prior = (told.sum(axis=0) + 1.0) / (told.sum() + classes)
-    return Model(subjects, terms, logp, prior, sources, phrases)
+    return Model(subjects, terms, logp, prior, sources, frozenset(phrases), frame)
 
 
 def describe(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
     """Per document: share of each subject among its topical sentences, and the number of those."""
-    tokens, lengths, owner = _encode(docs, model.terms, model.phrases)
+    tokens, lengths, owner = _encode(docs, model.terms, model.phrases, model.frame)
     n, classes = len(docs), model.logp.shape[1]
     if not len(owner):
         return np.zeros((n, classes - 1)), np.zeros(n)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.spread import spread
+
 WORDS = 12
 #: A shard is indexed when it holds this many words or this many characters of candidate documents.
 SHARD_WORDS = 1 << 20
@@ -232,6 +234,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, k: int = WORDS) -> Data
     out, spark = None, documents.sparkSession
     schema = "doc_id bigint, item_id bigint, start bigint, end bigint, words bigint"
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
+    texts = spread(texts)
     for block in _blocks(items):
         shared = spark.sparkContext.broadcast(Phrases(block, k))
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.spread import spread
+
 WINDOW = 20_000
 #: Bits that number the containers inside a window.
 BIN_BITS = 32
@@ -154,7 +156,7 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def pack_documents(documents: DataFrame, capacity: int = 2048, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """:func:`pack` over the token counts of whole texts."""
-    return pack(documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")), capacity, window)
+    return pack(spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")), capacity, window)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

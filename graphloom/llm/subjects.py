@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.spread import spread
+
 SAMPLE_DOCS = 20_000
 SAMPLE_CHARS = 30_000_000
 #: A term speaks for subjects if the divergence of its labels is this large, in nats and as likelihood-ratio statistic.
@@ -352,7 +354,8 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
             d, s = np.nonzero(found)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": np.array(m.subjects, object)[s]})
 
-    return documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null and text <> ''").mapInPandas(run, schema)
+    texts = documents.select("doc_id", "text", "source").where("doc_id is not null and text is not null and text <> ''")
+    return spread(texts).mapInPandas(run, schema)
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, background: DataFrame | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def fn_labels(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "fn_entropy",
     """WITH x AS (SELECT DISTINCT label AS l FROM nodes WHERE label <> ''), c AS (SELECT l, ch, count(*) AS c FROM (SELECT l, unnest(regexp_split_to_array(l, '')) AS ch FROM x) WHERE ch <> '' GROUP BY ALL)
-SELECT l, round(-sum(c::DOUBLE / strlen(l) * log2(c::DOUBLE / strlen(l))), 9) AS bits FROM c GROUP BY l""",
+SELECT l, round(-sum(c::DOUBLE / strlen(l) * log2(c::DOUBLE / strlen(l))), 9) + 0.0 AS bits FROM c GROUP BY l""",
 )
 def fn_entropy(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "nodes", "label").where("label <> ''").distinct()

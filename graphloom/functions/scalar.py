@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # The three confidence levels.
 CONFIDENCE_NAMES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
@@ -103,7 +104,7 @@ def jaro_winkler_pair(a: str, b: str, boost_over: float = 0.7, prefix: int = 4)
     if not m:
         return 0.0
     other = [b[j] for j in range(lb) if used[j]]
-    swaps = sum(x != y for x, y in zip(matched, other)) / 2
+    swaps = sum(x != y for x, y in zip(matched, other)) // 2
     jaro = (m / la + m / lb + (m - swaps) / m) / 3
     if jaro <= boost_over:
         return jaro
@@ -115,7 +116,7 @@ def jaro_winkler_pair(a: str, b: str, boost_over: float = 0.7, prefix: int = 4)
     return jaro + common * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_pair(x or "", y or "") for x, y in zip(a, b)])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph, graph
+from graphloom.plans.spread import spread
 
 _ID = r"[A-Za-z_][A-Za-z0-9_]*"
 
@@ -46,7 +47,7 @@ _JS_DECL = (
     ("class", rf"\bclass\s+(?P<name>{_ID})"),
     ("function", rf"\bfunction\s*\*?\s*(?P<name>{_ID})\s*[(<]"),
     ("function", rf"\b(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^()\n]*\)|{_ID})\s*(?::[^=\n]+)?=>"),
-    ("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){_ID})\s*\([^()\n]*\)\s*(?::[^{{\n]+)?\{{"),
+    ("method", rf"(?:^[ \t]+|[{{}};][ \t]*)(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){_ID})\s*\([^()\n]*\)\s*(?::[^{{\n]+)?\{{"),
 )
 _JS_IMPORT = (r"\bimport\s+(?:[^'\";]*?\bfrom\s*)?['\"](?P<path>[^'\"]+)['\"]", r"\bexport\s+[^'\";]*?\bfrom\s*['\"](?P<path>[^'\"]+)['\"]", r"\brequire\(\s*['\"](?P<path>[^'\"]+)['\"]\s*\)")
 _HASH = {"line_comment": ("#",), "block_comment": ()}
@@ -344,7 +345,7 @@ def extract(files: DataFrame, extractor=extract_text) -> Graph:
         for pdf in batches:
             yield rows_of(extractor(p, t) for p, t in zip(pdf["path"], pdf["text"]))
 
-    rows = files.select("path", "text").where("path is not null and text is not null").mapInPandas(run, _ROW)
+    rows = spread(files.select("path", "text").where("path is not null and text is not null")).mapInPandas(run, _ROW)
     nodes = rows.where("what = 'node'").groupBy("id").agg(F.min(F.struct("label", "sourcefile", "sourcelocation", "filetype")).alias("m")).select("id", "m.*")
     edges = rows.where("what = 'edge'").groupBy("source", "target", "relation").agg(F.min("confidence").alias("confidence"))
     return graph(nodes, edges)

@@ -46,6 +46,10 @@ def html_to_markdown(page: str | Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+\z", "")
 
 
+def _of(pairs: Column, name: str) -> Column:
+    return F.filter(pairs, lambda p: F.lower(p["k"]) == name)
+
+
 def og_tags(page: str | Column) -> Column:
     """Struct of title, description, image and site_name from og: and twitter: metas in either attribute order."""
     s = F.coalesce(_c(page), F.lit(""))
@@ -53,16 +57,14 @@ def og_tags(page: str | Column) -> Column:
     content = r"content\s*=\s*[\"']([^\"']*)[\"']"
     one = rf"(?is)<meta\s[^>]*?{name}[^>]*?{content}"
     two = rf"(?is)<meta\s[^>]*?{content}[^>]*?{name}"
-    pairs = F.concat(
-        F.arrays_zip(F.regexp_extract_all(s, F.lit(one), 1).alias("k"), F.regexp_extract_all(s, F.lit(one), 2).alias("v")),
-        F.arrays_zip(F.regexp_extract_all(s, F.lit(two), 2).alias("k"), F.regexp_extract_all(s, F.lit(two), 1).alias("v")),
-    )
+    named = lambda k, v: F.zip_with(k, v, lambda a, b: F.struct(a.alias("k"), b.alias("v")))
+    found = lambda pattern, group: F.regexp_extract_all(s, F.lit(pattern), group)
+    pairs = F.concat(named(found(one, 1), found(one, 2)), named(found(two, 2), found(two, 1)))
 
     def first(*keys: str) -> Column:
         out = F.lit("")
         for k in reversed(keys):
-            hits = F.filter(pairs, lambda p, k=k: F.lower(p["k"]) == k)
-            v = F.trim(F.regexp_replace(F.try_element_at(hits, F.lit(1))["v"], r"[\r\n]+", " "))
+            v = F.trim(F.regexp_replace(F.try_element_at(_of(pairs, k), F.lit(1))["v"], r"[\r\n]+", " "))
             out = F.when(F.coalesce(v, F.lit("")) != "", v).otherwise(out)
         return out
 

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.spread import spread
 
-SAMPLE_DOCS = 20_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_DOCS = 12_000
+SAMPLE_CHARS = 16_000_000
 #: A term speaks for subjects if the divergence of its labels is this large, in nats and as likelihood-ratio statistic.
 DIVERGENCE, SIGNIFICANCE = 0.25, 18.0
 #: A sentence that recurs in so many labelled documents with less divergence is a set phrase.

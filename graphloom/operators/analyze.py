@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import confidence_name, cross_language, display_label, is_hub_or_stub, sanitize_text, tokenize, top_level_dir
 from graphloom.model import Graph, kind
-from graphloom.operators.build import cross_community_counts
+from graphloom.operators.build import attach, cross_community_counts
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def with_ends(g: Graph, *columns: str) -> DataFrame:
     out = g.edges
     for end, p in (("source", "s_"), ("target", "t_")):
         side = nodes.select(F.col("id").alias(end), *(F.col(c).alias(p + c) for c in columns))
-        out = out.join(side, end, "left")
+        out = attach(out, side, end, "left", g.edges)
     blank = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint") if c.endswith("degree") else F.lit(""))
     return out.select("source", "target", "relation", "confidence", *(blank(p + c).alias(p + c) for p in ("s_", "t_") for c in columns))
 
@@ -96,7 +96,7 @@ def intra_pairs(g: Graph, communities: DataFrame | None = None) -> DataFrame:
     size = c.groupBy("community").agg(F.countDistinct("id").alias("size"))
     side = lambda end, name: c.select(F.col("id").alias(end), F.col("community").alias(name))
     inside = g.edges.where("source <> target").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).distinct()
-    inside = inside.join(side("u", "community"), "u").join(side("v", "_c"), "v").where("community = _c").groupBy("community").agg(F.count(F.lit(1)).alias("links"))
+    inside = attach(attach(inside, side("u", "community"), "u"), side("v", "_c"), "v", base=inside).where("community = _c").groupBy("community").agg(F.count(F.lit(1)).alias("links"))
     zero = F.coalesce("links", F.lit(0).cast("bigint"))
     return size.join(inside, "community", "left").select("community", "size", F.expr("size * (size - 1) div 2").alias("pairs"), zero.alias("links"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import repo_tag_ok, sanitize_text
 from graphloom.model import EDGE_FIELDS, NODE_FIELDS, Graph, is_lang_id, kind, normalise_edges, normalise_nodes
 from graphloom.operators.components import undirected
+from graphloom.plans.skew import heavy_keys, salted_join
 
 EDGE_KEY = ("source", "target", "relation")
 
@@ -83,14 +84,20 @@ def incremental_merge(prior: Graph, following: Graph, current_files: DataFrame |
     return Graph(nodes, edges)
 
 
+def attach(edges: DataFrame, side: DataFrame, end: str, how: str = "inner", base: DataFrame | None = None) -> DataFrame:
+    """Join ``edges`` with ``side``, keyed by the column ``end`` of both; crowded ids are spread by their other columns.
+
+    ``base`` is the plain edge table the crowded ids are counted in, where ``edges`` is itself the result of a join.
+    """
+    other = [c for c in edges.columns if c != end]
+    return salted_join(edges, side, end, heavy_keys(edges if base is None else base, end), F.struct(*other), how)
+
+
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends in ``nodes``."""
     ids = nodes.select("id").distinct()
-    return (
-        edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-        .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        .select(*edges.columns)
-    )
+    inside = attach(edges, ids.withColumnRenamed("id", "source"), "source", "left_semi")
+    return attach(inside, ids.withColumnRenamed("id", "target"), "target", "left_semi", edges).select(*edges.columns)
 
 
 def prefix_graph(g: Graph, tag: str) -> Graph:
@@ -166,7 +173,8 @@ def community_meta_graph(g: Graph, threshold: int = 0) -> Graph:
 def cross_community_counts(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """``a < b, n``: edges between two different communities, in either direction. ``communities`` has id, community."""
     side = lambda end, name: communities.select(F.col("id").alias(end), F.col("community").alias(name))
-    joined = edges.select("source", "target").join(side("source", "cs"), "source").join(side("target", "ct"), "target").where("cs <> ct")
+    ends = edges.select("source", "target")
+    joined = attach(attach(ends, side("source", "cs"), "source"), side("target", "ct"), "target", base=ends).where("cs <> ct")
     return joined.groupBy(F.least("cs", "ct").alias("a"), F.greatest("cs", "ct").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import import_segments, suffix_overlap
 from graphloom.model import EDGE_FIELDS, Graph, key, kind, lang
 from graphloom.operators.build import prune_orphan_calls
+from graphloom.plans.skew import heavy_keys, salted_join
 
 # Kinds that declare a type.
 TYPE_KINDS = ("class", "interface", "struct", "enum", "trait", "type", "protocol", "object", "mixin", "union")
@@ -38,6 +39,13 @@ def _fan_out(edges: DataFrame, candidates: DataFrame, end: str) -> DataFrame:
     return moved.unionByName(edges.join(count, "_eid", "left_anti").select(*moved.columns))
 
 
+def _named(wanted: DataFrame, declared: DataFrame) -> DataFrame:
+    """References (``_eid``, l, name) joined with the declarations of that language and name; common names are spread."""
+    k = F.concat_ws(":", "l", "name")
+    left = wanted.withColumn("_k", k)
+    return salted_join(left, declared.withColumn("_k", k).drop("l", "name"), "_k", heavy_keys(left, "_k"), F.col("_eid"))
+
+
 def _with_id(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_eid", F.sha2(F.concat_ws("\u0001", "source", "target", "relation", F.col("confidence").cast("string")), 256)).dropDuplicates(["_eid"])
 
@@ -53,7 +61,7 @@ def resolve_calls(g: Graph) -> Graph:
     rest = g.edges.where(~((F.col("relation") == "calls") & (kind("target") == "call")))
     declared = g.nodes.where(kind().isin("function", "method")).select("id", lang().alias("l"), F.col("label").alias("name"), "sourcefile").distinct()
     wanted = calls.select("_eid", "source", lang("target").alias("l"), key("target").alias("name"))
-    found = wanted.join(declared, ["l", "name"]).select("_eid", "source", "name", F.col("id").alias("to"), "sourcefile")
+    found = _named(wanted, declared).select("_eid", "source", "name", F.col("id").alias("to"), "sourcefile")
 
     scope = import_scope(g)
     caller = g.nodes.select(F.col("id").alias("source"), F.col("sourcefile").alias("file")).where("file <> ''").dropDuplicates(["source"])
@@ -93,7 +101,7 @@ def resolve_inheritance(g: Graph) -> Graph:
 
     def candidates(edges: DataFrame, end: str) -> DataFrame:
         wanted = edges.where(kind(end) == "typeref").select("_eid", lang(end).alias("l"), key(end).alias("name"))
-        return wanted.join(types, ["l", "name"]).select("_eid", F.col("id").alias("to")).distinct()
+        return _named(wanted, types).select("_eid", F.col("id").alias("to")).distinct()
 
     edges = _with_id(g.edges.where(mask))
     moved = _fan_out(edges, candidates(edges, "target"), "target").select(*EDGE_FIELDS)

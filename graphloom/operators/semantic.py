@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import approx_input_tokens, approx_output_tokens, cache_key, extract_json, strip_frontmatter
 from graphloom.model import Graph, graph
+from graphloom.plans.rank import running_before
 
 REPLY = "entities array<struct<id:string, type:string, label:string>>, relations array<struct<source:string, target:string, type:string>>, hyperedges array<struct<members:array<string>, type:string>>"
 
@@ -66,13 +67,12 @@ def within_budget(jobs: DataFrame, order: str, max_usd: float | None = None, max
     """Jobs in ``order`` whose predecessors have not used up the budget (the job that passes it still runs)."""
     if max_usd is None and max_tokens is None:
         return jobs
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    keep = F.lit(True)
-    if max_usd is not None:
-        keep = keep & (F.coalesce(F.sum("usd").over(before), F.lit(0.0)) < max_usd)
-    if max_tokens is not None:
-        keep = keep & (F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")).over(before), F.lit(0)) < max_tokens)
-    return jobs.withColumn("_keep", keep).where("_keep").drop("_keep")
+    limits = {"_usd": (max_usd, "usd"), "_tokens": (max_tokens, "input_tokens + output_tokens")}
+    used = running_before(jobs, order, {k: v for k, (limit, v) in limits.items() if limit is not None})
+    for k, (limit, _) in limits.items():
+        if limit is not None:
+            used = used.where(F.col(k) < limit).drop(k)
+    return used
 
 
 def prompt_key(text: str | Column, model: str, prompt: str, mode: str = "text") -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import community_hue, confidence_name, display_label, slugify
 from graphloom.model import Graph
 from graphloom.operators import analyze
+from graphloom.plans.rank import rank_within
 
 MARKER = ".graphloom-pages"
 
@@ -26,8 +27,8 @@ MARKER = ".graphloom-pages"
 def unique_slugs(df: DataFrame, label: str, order: str) -> DataFrame:
     """``df`` with ``slug``: slug of the label, the n-th of equal ones (by ``order``, case aside) suffixed ``_n``."""
     base = F.when(slugify(label) == "", "page").otherwise(slugify(label))
-    n = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    return df.withColumn("_b", base).withColumn("slug", F.when(n == 1, F.col("_b")).otherwise(F.concat("_b", F.lit("_"), n.cast("string")))).drop("_b")
+    ranked = rank_within(df.withColumn("_b", base), "_b", order, "_n")
+    return ranked.withColumn("slug", F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat("_b", F.lit("_"), F.col("_n").cast("string")))).drop("_b", "_n")
 
 
 def community_pages(g: Graph, concepts: int = 25, related: int = 12, sources: int = 20) -> DataFrame:

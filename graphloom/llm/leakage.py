@@ -33,7 +33,7 @@ SHARD_CHARS = 1 << 25
 #: One suffix position in this many is stored.
 SAMPLE = 16
 #: Test items are taken to the executors in blocks of about this many bytes, one pass over the corpus per block.
-ITEM_BYTES = 1 << 25
+ITEM_BYTES = 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
 

@@ -434,20 +434,13 @@ def prune_repo(spark: SparkSession, d: str) -> DataFrame:
     return build.prune_repo(both, "r2").nodes.select("id")
 
 
-@query(
-    "build_nodes",
-    """SELECT id, label FROM (SELECT id, arg_min(trim(regexp_replace(label, '\\p{Cc}', '', 'g')), (built_at, label, coalesce(removed_at, TIMESTAMP '9999-01-01'))) AS label FROM nodes
-WHERE id <> '' AND trim(regexp_replace(coalesce(label, ''), '[\\p{Cc}\\s\\x{a0}\\x{3000}]', '', 'g')) <> '' GROUP BY id)""",
-    base="",
-)
+@query("build_nodes")
 def build_nodes(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "nodes").withColumn("_seq", F.struct("built_at", "label", F.coalesce("removed_at", F.lit("9999-01-01").cast("timestamp_ntz"))))
+    # No SQL: its trim knows other white space; tested on fixtures.
     return build.build_nodes(raw, ["_seq"]).select("id", "label")
 
 
-del SQL["build_nodes"]  # white space rules of SQL's trim differ; tested on fixtures
-
-
 @query("build_edges", "SELECT source, target, relation, arg_min(confidence, (loaded_at, edge_id)) AS confidence FROM edges WHERE source <> '' AND target <> '' AND relation <> '' AND confidence IN (0, 1, 2) GROUP BY ALL", base="")
 def build_edges(spark: SparkSession, d: str) -> DataFrame:
     return build.build_edges(table(spark, d, "edges"), ["loaded_at", "edge_id"])
@@ -474,17 +467,51 @@ def hyperedge_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Resolution on the project graph.
-@query("resolve_calls")
+_PART = "split_part({0}, ':', {1})"
+_KEY = "substr({0}, length(split_part({0}, ':', 1)) + length(split_part({0}, ':', 2)) + 3)"
+_SEGMENTS = "list_filter(regexp_split_to_array({0}, '/|::|\\.'), lambda x: x <> '')"
+
+
+def _resolved(where: str, declared: str, narrowed: bool) -> str:
+    """SQL that retargets the edges of ``where`` to what their targets name among ``declared``."""
+    scope = f"""scope AS (SELECT DISTINCT n.sourcefile AS file, unnest({_SEGMENTS.format(_KEY.format('target'))}) AS word FROM e JOIN n ON e.source = n.id WHERE relation = 'imports' AND n.sourcefile <> ''),
+near AS (SELECT DISTINCT f.eid, f.to_ FROM f JOIN (SELECT eid FROM f GROUP BY eid HAVING count(*) > 1) USING (eid) JOIN n ON f.source = n.id JOIN scope a ON a.file = n.sourcefile AND a.word = f.name
+  JOIN scope b ON b.file = n.sourcefile AND b.word = regexp_replace(list_extract(string_split(f.sourcefile, '/'), -1), '^(.+)\\.[^.]*$', '\\1')),"""
+    none = "near AS (SELECT eid, to_ FROM f WHERE false),"
+    return f"""+ c AS (SELECT row_number() OVER () AS eid, * FROM (SELECT DISTINCT * FROM e WHERE {where})),
+decl AS (SELECT DISTINCT id, {_PART.format('id', 1)} AS l, label AS name, sourcefile FROM n WHERE {_PART.format('id', 2)} IN ({declared})),
+f AS (SELECT c.eid, c.source, d.name, d.id AS to_, d.sourcefile FROM c JOIN decl d ON {_PART.format('c.target', 1)} = d.l AND {_KEY.format('c.target')} = d.name),
+{scope if narrowed else none}
+cand AS (SELECT * FROM near UNION SELECT DISTINCT eid, to_ FROM f WHERE eid NOT IN (SELECT eid FROM near)), k AS (SELECT eid, count(*) AS n FROM cand GROUP BY 1),
+moved AS (SELECT DISTINCT source, to_ AS target, relation, CASE k.n WHEN 1 THEN 1 ELSE 2 END AS confidence FROM c JOIN k USING (eid) JOIN cand USING (eid)
+  UNION SELECT source, target, relation, confidence FROM c WHERE eid NOT IN (SELECT eid FROM k))
+SELECT * FROM moved UNION SELECT DISTINCT source, target, relation, confidence FROM e WHERE NOT ({where})"""
+
+
+@query("resolve_calls", _resolved("relation = 'calls' AND split_part(target, ':', 2) = 'call'", "'function', 'method'", True), P)
 def q_resolve_calls(spark: SparkSession, d: str) -> DataFrame:
     return resolve_calls(project_graph(spark, d)).edges
 
 
-@query("resolve_methods")
+@query(
+    "resolve_methods",
+    f"""+ d AS (SELECT {_PART.format('id', 1)} AS l, regexp_replace(sourcefile, '/?[^/]*$', '') AS d, label AS name, max(id) AS type FROM n WHERE {_PART.format('id', 2)} IN ('class', 'interface', 'struct', 'enum', 'trait', 'type', 'protocol', 'object', 'mixin', 'union') GROUP BY ALL)
+SELECT DISTINCT source, target, relation, confidence FROM e WHERE relation <> 'method_of'
+UNION SELECT d.type, e.source, 'contains', 0 FROM e JOIN n ON e.source = n.id JOIN d ON d.l = {_PART.format('e.target', 1)} AND d.name = {_KEY.format('e.target')} AND d.d = regexp_replace(n.sourcefile, '/?[^/]*$', '') WHERE relation = 'method_of'""",
+    P,
+)
 def q_resolve_methods(spark: SparkSession, d: str) -> DataFrame:
     return resolve_methods(project_graph(spark, d)).edges
 
 
-@query("resolve_inheritance")
+_TYPES = "'class', 'interface', 'struct', 'enum', 'trait', 'type', 'protocol', 'object', 'mixin', 'union'"
+
+
+@query(
+    "resolve_inheritance",
+    _resolved("relation IN ('inherits', 'implements', 'embeds') AND split_part(target, ':', 2) = 'typeref'", _TYPES, False),
+    P,
+)
 def q_resolve_inheritance(spark: SparkSession, d: str) -> DataFrame:
     return resolve_inheritance(project_graph(spark, d)).edges
 
@@ -514,7 +541,18 @@ def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
     return exact_links(project_graph(spark, d).nodes)
 
 
-@query("dedup_fuzzy")
+@query(
+    "dedup_fuzzy",
+    f"""+ x AS (SELECT id, {_BUCKET} AS b, {NAME} AS l, community FROM n), ch AS (SELECT l, c, count(*) AS k FROM (SELECT l, unnest(regexp_split_to_array(l, '')) AS c FROM (SELECT DISTINCT l FROM x)) WHERE c <> '' GROUP BY ALL),
+ent AS (SELECT l FROM ch GROUP BY l HAVING -sum(k::DOUBLE / strlen(l) * log2(k::DOUBLE / strlen(l))) >= 2.5), y AS (SELECT id, b, {_NORM.format('l')} AS w FROM x JOIN ent USING (l)),
+z AS (SELECT b, w, min(id) AS id, replace(w, ' ', '') AS t FROM y WHERE w <> '' GROUP BY b, w),
+g AS (SELECT b, w, id, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS s FROM z),
+inv AS (SELECT b, id, unnest(s) AS gram, len(s) AS size FROM g),
+pr AS (SELECT p.id AS u, q.id AS v FROM inv p JOIN inv q ON p.b = q.b AND p.gram = q.gram AND p.id < q.id GROUP BY p.id, q.id, p.size, q.size HAVING count(*) >= 0.7 * greatest(p.size, q.size))
+SELECT u, v FROM pr JOIN x a ON pr.u = a.id JOIN x c ON pr.v = c.id
+WHERE jaro_winkler_similarity({_NORM.format('a.l')}, {_NORM.format('c.l')}) * 100 + CASE WHEN a.community = c.community THEN 5 ELSE 0 END >= 92""",
+    P,
+)
 def dedup_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     nodes = project_graph(spark, d).nodes
     return scored_pairs(nodes, fuzzy_candidates(nodes)).where("score >= 92").select("u", "v")
@@ -552,19 +590,19 @@ def _tree(spark: SparkSession, d: str) -> Graph:
     return Graph(g.nodes.where("split_part(id, ':', 2) in ('region', 'nation', 'supplier', 'customer')"), g.edges.where("relation = 'contains'"))
 
 
-@query(
-    "betweenness",
-    """+ f AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS k FROM nation),
+_TREE = """+ f AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS k FROM nation),
 r AS (SELECT n_regionkey, count(*) AS m, sum(k + 1) AS below, sum((k + 1) * (k + 1)) AS sq FROM f GROUP BY 1)
 SELECT id, coalesce(v, 0)::DOUBLE AS score FROM (SELECT id FROM n WHERE split_part(id, ':', 2) IN ('region', 'nation', 'supplier', 'customer')) LEFT JOIN (
   SELECT 'tpch:region:' || n_regionkey AS id, (below * below - sq) / 2.0 AS v FROM r
-  UNION ALL SELECT 'tpch:nation:' || n_nationkey, k * (k - 1) / 2.0 + k * (r.below - k - 1 + 1) FROM f JOIN r USING (n_regionkey)) USING (id)""",
-)
+  UNION ALL SELECT 'tpch:nation:' || n_nationkey, k * (k - 1) / 2.0 + k * (r.below - k - 1 + 1) FROM f JOIN r USING (n_regionkey)) USING (id)"""
+
+
+@query("betweenness", _TREE)
 def q_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return betweenness(_tree(spark, d))
 
 
-@query("bridge_nodes")
+@query("bridge_nodes", _TREE.replace("SELECT id, coalesce(v", ", b AS (SELECT id, coalesce(v", 1) + ") SELECT b.id, n.label, b.score FROM b JOIN n USING (id) WHERE score > 0 ORDER BY score DESC, b.id LIMIT 3")
 def q_bridge_nodes(spark: SparkSession, d: str) -> DataFrame:
     return bridge_nodes(_tree(spark, d))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import os
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -145,24 +146,27 @@ class Extraction:
         self.edges.setdefault((a, b, relation), confidence)
 
 
-def _ends(code: str, lang: Language, starts: list[int]) -> list[int]:
+def _ends(code: str, lang: Language, starts: list[int], kinds: list[str]) -> list[int]:
     """Where the scope of each declaration ends."""
     out = []
     if lang.scope == "braces":
-        for s in starts:
-            depth, i, n = 0, s, len(code)
-            while i < n:
-                c = code[i]
-                if c == "{":
-                    depth += 1
-                elif c == "}":
-                    depth -= 1
-                    if depth <= 0:
-                        break
-                elif c == "\n" and depth == 0 and ";" in code[s:i]:
-                    break
-                i += 1
-            out.append(i)
+        close, stack, opens = {}, [], []
+        for m in re.finditer(r"[{}]", code):
+            if m.group() == "{":
+                stack.append(m.start())
+                opens.append(m.start())
+            elif stack:
+                close[stack.pop()] = m.start()
+        stops = [m.start() for m in re.finditer(";", code)]
+        for s, kind in zip(starts, kinds):
+            i, j = bisect_left(opens, s), bisect_left(stops, s)
+            o, stop = opens[i] if i < len(opens) else len(code), stops[j] if j < len(stops) else len(code)
+            line = code.find("\n", s)
+            line = len(code) if line < 0 else line
+            if stop < o or (kind in ("const", "var", "type", "import") and o > line):
+                out.append(min(stop, line) if kind in ("const", "var", "type") else stop)
+            else:
+                out.append(close.get(o, len(code)))
     elif lang.scope == "end":
         words = sorted([(m.start(), 1) for m in re.finditer(lang.openers, code, re.M)] + [(m.start(), -1) for m in re.finditer(r"(?i)\bend\w*\b", code)])
         for s in starts:
@@ -189,8 +193,6 @@ def scan(path: str, text: str, lang: Language) -> Extraction:
     lines = [0, *(m.end() for m in re.finditer("\n", code))]
 
     def at(pos: int) -> tuple[int, int]:
-        from bisect import bisect_right
-
         row = bisect_right(lines, pos) - 1
         return row, pos - lines[row]
 
@@ -202,7 +204,7 @@ def scan(path: str, text: str, lang: Language) -> Extraction:
             owner = m.groupdict().get("owner") or ""
             found.setdefault(m.start("name"), (kind, m["name"], owner, m.start()))
     order = sorted(found)
-    ends = _ends(code, lang, [found[p][3] for p in order])
+    ends = _ends(code, lang, [found[p][3] for p in order], [found[p][0] for p in order])
     open_: list[tuple[int, str, str]] = []
     spans = []
     for pos, end in zip(order, ends):

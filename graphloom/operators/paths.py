@@ -21,7 +21,7 @@ def k_hop(g: Graph, seeds: list[str], depth: int) -> DataFrame:
     those one hop nearer ('' for seeds). A round joins only the last layer with the arcs."""
     spark = g.edges.sparkSession
     scratch = Scratch(spark, "hops")
-    arcs = neighbours(g.edges)
+    arcs, arcs_path = scratch.put(neighbours(g.edges), "arcs")
     start = spark.createDataFrame([(s,) for s in sorted(set(seeds))], "id string").join(g.nodes.select("id").distinct(), "id", "left_semi")
     reached, path = scratch.put(start.select("id", F.lit(0).alias("hop"), F.lit("").alias("via")), "reached")
     for hop in range(1, depth + 1):
@@ -33,6 +33,7 @@ def k_hop(g: Graph, seeds: list[str], depth: int) -> DataFrame:
         reached, path = following, new
         if not reached.where(F.col("hop") == hop).limit(1).count():
             break
+    scratch.drop(arcs_path)
     return reached
 
 
@@ -50,7 +51,7 @@ def shortest_path(g: Graph, source: str, target: str, longest: int = 64) -> Data
     """
     spark = g.edges.sparkSession
     scratch = Scratch(spark, "path")
-    arcs = neighbours(g.edges)
+    arcs, _ = scratch.put(neighbours(g.edges), "arcs")
     layer = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     if source == target:
         return layer.select(F.posexplode("path").alias("step", "id"))

@@ -14,7 +14,6 @@ from graphloom.operators.components import components
 from graphloom.operators.entity_resolution import exact_links, fuzzy_candidates, resolve_entities, scored_pairs
 from graphloom.operators.paths import bounded_levels, k_hop
 from graphloom.operators.resolve import resolve_calls, resolve_imports, resolve_inheritance, resolve_methods
-from graphloom.plans.scratch import cut
 from graphloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -61,8 +60,7 @@ def query(name: str, sql: str | None = None, base: str = T, recursive: bool = Fa
 
 def stored_tpch(spark: SparkSession, d: str) -> Graph:
     """Graph T written once, for queries that pass over it several times."""
-    g = tpch_graph(spark, d)
-    return g.with_(nodes=cut(g.nodes, "nodes"), edges=cut(g.edges, "edges"))
+    return build.stored(tpch_graph(spark, d))
 
 
 @query("degree", "SELECT id, degree FROM deg")

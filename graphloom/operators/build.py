@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import repo_tag_ok, sanitize_text
 from graphloom.model import EDGE_FIELDS, NODE_FIELDS, Graph, is_lang_id, kind, normalise_edges, normalise_nodes
 from graphloom.operators.components import undirected
+from graphloom.plans.scratch import cut
 from graphloom.plans.skew import heavy_keys, salted_join
 
 EDGE_KEY = ("source", "target", "relation")
@@ -84,6 +85,11 @@ def incremental_merge(prior: Graph, following: Graph, current_files: DataFrame |
     return Graph(nodes, edges)
 
 
+def stored(g: Graph) -> Graph:
+    """The graph written to the shared folder: what follows starts from tables, not from the plan that made them."""
+    return g.with_(nodes=cut(g.nodes.select(*NODE_FIELDS), "nodes"), edges=cut(g.edges.select(*EDGE_FIELDS), "edges"))
+
+
 def attach(edges: DataFrame, side: DataFrame, end: str, how: str = "inner", base: DataFrame | None = None) -> DataFrame:
     """Join ``edges`` with ``side``, keyed by the column ``end`` of both; crowded ids are spread by their other columns.
 

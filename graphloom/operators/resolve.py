@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import import_segments, suffix_overlap
 from graphloom.model import EDGE_FIELDS, Graph, key, kind, lang
-from graphloom.operators.build import prune_orphan_calls
+from graphloom.operators.build import prune_orphan_calls, stored
 from graphloom.plans.skew import heavy_keys, salted_join
 
 # Kinds that declare a type.
@@ -152,4 +152,7 @@ def resolve_imports(g: Graph, least: int = 2) -> Graph:
 
 
 def resolve_all(g: Graph) -> Graph:
-    return resolve_imports(resolve_inheritance(resolve_methods(resolve_calls(g))))
+    """All four resolutions in order, each starting from the stored result of the one before."""
+    for step in (resolve_calls, resolve_methods, resolve_inheritance, resolve_imports):
+        g = stored(step(g))
+    return g

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.model import EDGE_FIELDS, NODE_FIELDS, Graph
-from graphloom.operators.build import build_edges, build_nodes, incremental_merge
+from graphloom.model import NODE_FIELDS, Graph
+from graphloom.operators.build import build_edges, build_nodes, incremental_merge, stored
 from graphloom.operators.communities import detect, with_communities
 from graphloom.operators.entity_resolution import resolve_entities
 from graphloom.operators.incremental import ContentState
@@ -48,12 +48,11 @@ def extract_all(files: DataFrame, rationale: bool = True) -> Graph:
 
 def finish(g: Graph, options: Options = Options()) -> Graph:
     """Resolution, entity resolution and communities over an extracted graph."""
+    g = stored(g)
     if options.resolve:
         g = resolve_all(g)
-    g = g.with_(nodes=cut(g.nodes.select(*NODE_FIELDS), "nodes"), edges=cut(g.edges.select(*EDGE_FIELDS), "edges"))
     if options.dedup:
-        g, _ = resolve_entities(g)
-        g = g.with_(nodes=cut(g.nodes, "nodes"), edges=cut(g.edges, "edges"))
+        g = stored(resolve_entities(g)[0])
     return cluster_only(g) if options.cluster else g
 
 
@@ -70,7 +69,7 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
 
 def run(spark: SparkSession, root: str, options: Options = Options()) -> Graph:
     """The whole build of a directory."""
-    g = finish(extract_all(read_texts(spark, root), options.rationale), options)
+    g = stored(finish(extract_all(read_texts(spark, root), options.rationale), options))
     return g.with_(commit=discovery.head_commit(root))
 
 
@@ -86,11 +85,10 @@ def update(prior: Graph, files: DataFrame, state: ContentState, options: Options
     gone = prior.nodes.where("sourcefile <> ''").select(F.col("sourcefile").alias("path")).distinct().join(files.select("path"), "path", "left_anti")
     if n == 0 and gone.limit(1).count() == 0:
         return prior, 0
-    fresh = extract_all(files.join(todo.select(F.col("key").alias("path")), "path", "left_semi"), options.rationale)
+    fresh = stored(extract_all(files.join(todo.select(F.col("key").alias("path")), "path", "left_semi"), options.rationale))
     kept = prior.nodes.join(todo.select(F.col("key").alias("sourcefile")), "sourcefile", "left_anti").select(*NODE_FIELDS)
     merged = incremental_merge(prior.with_(nodes=kept), fresh, files.select(F.col("path").alias("sourcefile")))
-    done = finish(merged, options)
-    done = done.with_(nodes=cut(done.nodes, "nodes"), edges=cut(done.edges, "edges"))
+    done = stored(finish(merged, options))
     state.commit(todo.withColumn("seen", F.lit(0).cast("bigint")))
     return done, n
 

@@ -1,11 +1,13 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.catalog.graph import QUERIES
 from graphloom.engine import Engine
 from graphloom.functions import scalar as fn
-from graphloom.model import EDGE_SCHEMA, HYPEREDGE_SCHEMA, Graph, graph
+from graphloom.model import EDGE_SCHEMA, HYPEREDGE_SCHEMA, Graph, graph, tpch_graph
 from graphloom.operators import analyze, build, diff
 from graphloom.operators.centrality import betweenness
 from graphloom.operators.communities import detect, modularity, split_communities, with_communities
@@ -14,6 +16,8 @@ from graphloom.operators.entity_resolution import fuzzy_candidates, resolve_enti
 from graphloom.operators.paths import shortest_path
 from graphloom.operators.resolve import resolve_calls, resolve_imports, resolve_inheritance, resolve_methods
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def g_of(spark, nodes, edges):
     """Nodes as id or (id, label, sourcefile, community, filetype); edges as (source, target, relation, confidence)."""
@@ -89,6 +93,40 @@ def test_betweenness(spark):
     assert {r.score for r in betweenness(g_of(spark, list("abc"), [])).collect()} == {0.0}
 
 
+def test_betweenness_with_cycles_against_brute_force(spark):
+    r = random.Random(5)
+    names = [f"n{i:02d}" for i in range(24)]
+    edges = [(a, b) for a, b in (r.sample(names[:20], 2) for _ in range(40))] + [("n20", "n21"), ("n21", "n22"), ("n22", "n20")]
+    near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in names}
+
+    def paths(a, b):
+        layer = [[a]]
+        while layer and not any(p[-1] == b for p in layer):
+            seen = {x for p in layer for x in p}
+            layer = [p + [y] for p in layer for y in near[p[-1]] if y not in seen]
+        return [p for p in layer if p[-1] == b]
+
+    want = dict.fromkeys(names, 0.0)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            found = paths(a, b)
+            for p in found:
+                for x in p[1:-1]:
+                    want[x] += 1 / len(found)
+    g = g_of(spark, names, edges)
+    for limit in (0, 1000):
+        assert dict(rows(betweenness(g, block=5, broadcast_links=limit))) == pytest.approx(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+@pytest.mark.parametrize("name", ["betweenness_whole", "leiden"])
+def test_registered_on_the_whole_graph(spark, name):
+    got = QUERIES[name](spark, SMALL).toPandas()
+    assert sorted(got["id"]) == sorted(r.id for r in tpch_graph(spark, SMALL).nodes.select("id").collect())
+    if name == "betweenness_whole":
+        assert {"order", "part"} <= set(got["id"][got["score"] > 0].str.split(":").str[1])
+
+
 def test_louvain(spark):
     tri = lambda a, b, c: [(a, b), (b, c), (c, a)]
     g = g_of(spark, list("abcxyz") + ["lone"], tri(*"abc") + tri(*"xyz") + [("c", "x"), ("a", "phantom"), ("b", "b")])

@@ -50,8 +50,12 @@ NO_SUBJECT = 0.001
 TOKEN_BLOCK = 200_000
 
 _FRONT = re.compile(r"\A﻿?\s*---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
-_FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
-_INLINE_FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+#: Code blocks in the order they stand: backticks from anywhere in a line to the next run as long, tildes from line to line
+#: (a longer row of tildes under a text is a heading). A fence without partner opens nothing.
+_FENCE = re.compile(
+    r"(?<!`)(`{3,}+).*?\1`*+|^[ \t]*~~~(?!~).*?^[ \t]*~~~[ \t]*$|(?:(?<=\n\n)|\A)[ \t]*(~{4,}+)[^~\n]*\n.*?^[ \t]*\2~*[ \t]*$",
+    re.S | re.M,
+)
 _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t].*|[=\-~]{3,}[ \t]*)$", re.M)
 _MARK = re.compile(r"^[ \t]*(?:(?:[-*+>|]|\d+[.)]|[A-Z]:|\[\d+:\d+(?::\d+)?\])[ \t]+)+", re.M)
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”)\]]*\s+|\n\s*\n")
@@ -73,8 +77,7 @@ def sentences(text: str) -> tuple[list[list[str]], list[float]]:
     """Terms of every prose sentence, and structure features of the document."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     body = _FRONT.sub("", text)
-    fences = len(_FENCE.findall(body))
-    body = _INLINE_FENCE.sub(" ", _FENCE.sub(" ", body))
+    body, fences = _FENCE.subn(" ", body)
     headings = len(_HEADING.findall(body))
     body = _HEADING.sub("\n\n", body)
     marks = len(_MARK.findall(body))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from graphloom.llm.subjects import classify, decode, describe, sentences, subject_areas, train
 
@@ -50,6 +51,22 @@ def test_headings_code_and_front_matter_are_no_sentences():
     assert got == [["one", "real", "sentence", "stand", "here"], ["item", "of", "several", "word"]] and features[0] == 1
 
 
+@pytest.mark.parametrize(
+    "text, fences",
+    [
+        ("Abstract comes here first. ```js\nsome code of words\n```\n\nThe tail stays here.", 1),
+        ("Abstract comes here first. ```some code of words``` The tail stays here.", 1),
+        ("```\nsome code of words\n```\nAbstract comes here first. ```js\nmore code of words\n```\nThe tail stays here.", 2),
+        ("Abstract comes here first.\n```\n\nThe tail stays here.", 0),
+        ("~~~\nsome ``` code of words\n~~~\nAbstract comes here first.\n\nThe tail stays here.", 1),
+        ("````\nsome code\n```\nof words\n````\nAbstract comes here first.\n\n~~~\n\nThe tail stays here.", 1),
+    ],
+)
+def test_text_after_code_blocks_stays(text, fences):
+    got, features = sentences(text)
+    assert got == [["abstract", "come", "here", "first"], ["the", "tail", "stay", "here"]] and features[0] == fences
+
+
 def test_no_labels(spark):
     d = spark.createDataFrame([(1, "Some text is here.", "r")], "doc_id bigint, text string, source string")
     none = spark.createDataFrame([], "doc_id bigint, subject string")

@@ -569,9 +569,9 @@ def dedup_graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Iterative algorithms.
-def _orders(spark: SparkSession, d: str) -> Graph:
-    """Orders and the parts they alone refer to at small quantity: many small components."""
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity").where("l_quantity < 2")
+def _orders(spark: SparkSession, d: str, where: str = "l_quantity < 2") -> Graph:
+    """Orders and their parts; at small quantity alone these are many small components, which SQL can follow."""
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity").where(where)
     edges = rows.select(F.concat(F.lit("o:"), "l_orderkey").alias("source"), F.concat(F.lit("p:"), "l_partkey").alias("target"), F.lit("has").alias("relation"), F.lit(0).alias("confidence")).distinct()
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     from graphloom.model import graph
@@ -589,6 +589,20 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     return components(g.nodes, build.graph_links(g))
 
 
+@query("components_whole")
+def components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All of graph T, with its giant component and crowded vertices."""
+    g = stored_tpch(spark, d)
+    return components(g.nodes, build.graph_links(g))
+
+
+@query("components_orders")
+def components_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and parts over all lineitem rows."""
+    g = _orders(spark, d, "true")
+    return components(g.nodes, build.graph_links(g))
+
+
 def _tree(spark: SparkSession, d: str) -> Graph:
     """Regions, nations, suppliers and customers: a forest, whose betweenness SQL has in closed form."""
     g = tpch_graph(spark, d)

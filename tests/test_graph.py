@@ -153,6 +153,28 @@ def test_components(spark):
     assert dict(rows(components(g.nodes, build.graph_links(g)))) == root
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
+@pytest.mark.parametrize("name", ["components_whole", "components_orders"])
+def test_components_of_all_rows_against_brute_force(spark, name):
+    if name == "components_whole":
+        g = tpch_graph(spark, SMALL)
+        links, root = g.edges.select("source", "target").collect(), {r.id: r.id for r in g.nodes.select("id").collect()}
+    else:
+        links = spark.read.parquet(f"{SMALL}/lineitem.parquet").selectExpr("'o:' || l_orderkey", "'p:' || l_partkey").collect()
+        root = {x: x for ends in links for x in ends}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert dict(rows(QUERIES[name](spark, SMALL))) == {x: find(x) for x in root}
+
+
 def test_shortest_path_is_least(spark):
     g = g_of(spark, list("abcdef"), [("a", "c"), ("a", "b"), ("c", "d"), ("b", "d"), ("d", "e")])
     assert [r.id for r in shortest_path(g, "a", "e").orderBy("step").collect()] == list("abde")

@@ -49,15 +49,21 @@ class ContentState:
             return self.spark.createDataFrame([], STATE_SCHEMA)
         return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/{v}")
 
-    def commit(self, rows: DataFrame, merge: bool = True) -> str:
+    def next_run(self) -> int:
+        """A number above every ``seen`` of the state: entries committed with it replace those of their keys."""
+        last = self.load().agg(F.max("seen")).first()[0]
+        return 0 if last is None else last + 1
+
+    def commit(self, rows: DataFrame, merge: bool = True, gone: DataFrame | None = None) -> str:
         """Make ``rows`` (key, hash, seen) the newest knowledge of their keys and swap the version atomically.
 
-        With ``merge`` keys absent from ``rows`` keep their entry; otherwise ``rows`` replaces the state. One entry per
-        key remains, that of the greatest ``(seen, hash)``.
+        With ``merge`` keys absent from ``rows`` keep their entry, those of ``gone`` (key) excepted; otherwise ``rows``
+        replaces the state. One entry per key remains, that of the greatest ``(seen, hash)``.
         """
         rows = rows.select("key", "hash", F.col("seen").cast("bigint").alias("seen"))
         if merge and self.version() is not None:
-            rows = rows.unionByName(self.load())
+            old = self.load()
+            rows = rows.unionByName(old if gone is None else old.join(gone.select("key"), "key", "left_anti"))
         newest = (
             rows.where(F.col("key").isNotNull())
             .groupBy("key")

@@ -76,20 +76,21 @@ def run(spark: SparkSession, root: str, options: Options = Options()) -> Graph:
 def update(prior: Graph, files: DataFrame, state: ContentState, options: Options = Options()) -> tuple[Graph, int]:
     """Fold new and changed files (path, text) into ``prior``; the state is committed when the new graph is written.
 
-    Files that are gone leave the graph with their nodes. With nothing changed and nothing gone the prior graph comes
+    Files that are gone leave the graph with their nodes, and the state with their keys. With nothing changed and nothing gone the prior graph comes
     back as it is. Returns the graph and the number of files extracted.
     """
     now = files.where("path is not null and text is not null").select(F.col("path").alias("key"), F.sha2("text", 256).alias("hash"))
     todo = cut(state.changed(now).select("key", "hash"), "todo")
     n = todo.count()
     gone = prior.nodes.where("sourcefile <> ''").select(F.col("sourcefile").alias("path")).distinct().join(files.select("path"), "path", "left_anti")
-    if n == 0 and gone.limit(1).count() == 0:
+    lost = state.load().select("key").join(files.select(F.col("path").alias("key")), "key", "left_anti")
+    if n == 0 and gone.limit(1).count() == 0 and lost.limit(1).count() == 0:
         return prior, 0
     fresh = stored(extract_all(files.join(todo.select(F.col("key").alias("path")), "path", "left_semi"), options.rationale))
     kept = prior.nodes.join(todo.select(F.col("key").alias("sourcefile")), "sourcefile", "left_anti").select(*NODE_FIELDS)
     merged = incremental_merge(prior.with_(nodes=kept), fresh, files.select(F.col("path").alias("sourcefile")))
     done = stored(finish(merged, options))
-    state.commit(todo.withColumn("seen", F.lit(0).cast("bigint")))
+    state.commit(todo.withColumn("seen", F.lit(state.next_run()).cast("bigint")), gone=lost)
     return done, n
 
 

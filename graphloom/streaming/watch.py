@@ -29,22 +29,46 @@ def watch(changes: DataFrame, rebuild: Callable[[DataFrame, int], None], checkpo
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def process_changed(changes: DataFrame, state: ContentState, work: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def process_changed(
+    changes: DataFrame, state: ContentState, work: Callable[[DataFrame], None], checkpoint: str, trigger: dict | None = None, order: str | None = None
+) -> StreamingQuery:
     """Run ``work`` on the new and changed records (key, hash) of every batch and commit them after it succeeds.
 
+    ``order`` names a bigint or timestamp column, without nulls, that tells versions of a key apart: the newest counts,
+    within a batch and against what was committed, so a late older version is left alone; the state belongs to this
+    order alone. Without it batches follow each other, and a batch with several versions of one key is an error, for
+    none of them can be called the newest.
+
     A batch that is replayed after a failure selects the same records again unless its commit went through, in which
     case it selects none.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.where("key is not null").groupBy("key").agg(F.max("hash").alias("hash"))
-        todo = state.changed(latest).select("key", "hash").persist()
+        records = batch.where("key is not null").withColumn("hash", F.lower("hash"))
+        if order is None:
+            latest = records.groupBy("key").agg(F.max("hash").alias("hash"), (F.count_distinct("hash") > 1).alias("several"))
+            unclear = latest.where("several").select("key").limit(1).collect()
+            if unclear:
+                raise ValueError(f"several versions of {unclear[0].key!r} in batch {batch_id}: name their order")
+            newer = state.changed(latest).select("key", "hash", F.lit(state.next_run()).cast("bigint").alias("seen"), F.lit(True).alias("other"))
+        else:
+            at = F.col(order)
+            if batch.schema[order].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+                at = F.unix_micros(at.cast("timestamp"))
+            latest = records.groupBy("key").agg(F.max(F.struct(at.cast("bigint").alias("seen"), "hash")).alias("m")).select("key", "m.*")
+            then = state.load().select("key", F.struct("seen", F.lower("hash").alias("hash")).alias("then"))
+            newer = latest.join(then, "key", "left").where(F.col("then").isNull() | (F.struct("seen", "hash") > F.col("then")))
+            # Unchanged content is no work, but its time is kept: what is older than it is late.
+            newer = newer.select("key", "hash", "seen", (~F.coalesce(F.col("hash") == F.col("then.hash"), F.lit(False))).alias("other"))
+        newer = newer.persist()
         try:
+            todo = newer.where("other").select("key", "hash")
             if todo.limit(1).count():
                 work(todo)
-                state.commit(todo.withColumn("seen", F.lit(batch_id).cast("bigint")))
+            if newer.limit(1).count():
+                state.commit(newer)
         finally:
-            todo.unpersist()
+            newer.unpersist()
 
     return watch(changes, one, checkpoint, trigger)
 

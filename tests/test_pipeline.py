@@ -1,6 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from graphloom import pipeline
+from graphloom.model import EDGE_SCHEMA, graph
 from graphloom.operators.incremental import ContentState
 from graphloom.operators.semantic import within_budget
 from graphloom.plans.rank import rank_within, running_before
@@ -40,6 +43,19 @@ def test_update_folds_changes(spark):
     assert n == 1 and "py:function:/a.py:h" in ids(g) and not {"py:function:/a.py:f", "py:function:/b.py:g"} & ids(g)
 
 
+def test_update_sees_files_return(spark, monkeypatch):
+    named = F.concat(F.lit("py:function:"), "path", F.lit(":"), F.substring("text", 5, 1))
+    flat = lambda files, _: graph(files.select(named.alias("id"), F.lit("f").alias("label"), F.col("path").alias("sourcefile")), spark.createDataFrame([], EDGE_SCHEMA))
+    monkeypatch.setattr(pipeline, "extract_all", flat)
+    files = lambda t: spark.createDataFrame([("/a.py", t)] if t else [], "path string, text string")
+    state, options = ContentState(spark), pipeline.Options(False, False, False)
+    g = flat(files(None), True)
+    x, y = sorted(("def f(): pass", "def g(): pass"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for text, n in ((y, 1), (x, 1), (x, 0), (y, 1), (None, 0), (y, 1)):
+        g, got = pipeline.update(g, files(text), state, options)
+        assert got == n and ids(g) == ({f"py:function:/a.py:{text[4]}"} if text else set())
+
+
 def test_ingest_once(spark, tmp_path):
     calls = []
 

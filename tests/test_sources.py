@@ -297,6 +297,23 @@ def test_streams(spark, tmp_path):
     assert batch == {("a", 2), ("a", 1), ("b", 1)}
 
 
+def test_newest_version_of_a_batch_counts(spark, tmp_path):
+    src, seen, state = str(tmp_path / "in"), [], ContentState(spark)
+
+    def drain(rows, order="at"):
+        spark.createDataFrame(rows, "key string, hash string, at bigint").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("key string, hash string, at bigint").parquet(src)
+        process_changed(stream, state, lambda df: seen.append(sorted(map(tuple, df.collect()))), str(tmp_path / "ck"), order=order).awaitTermination(120)
+
+    drain([("a", "9", 1), ("a", "1", 2)])
+    drain([("a", "1", 5), ("a", "7", 1)])
+    drain([("a", "8", 4), ("b", "1", 1)])
+    drain([("a", "0", 6)])
+    assert seen == [[("a", "1")], [("b", "1")], [("a", "0")]]
+    with pytest.raises(Exception, match="several versions"):
+        drain([("c", "1", 1), ("c", "2", 2)], order=None)
+
+
 def test_stream_of_changes(spark, tmp_path):
     src, seen, state = str(tmp_path / "in"), [], ContentState(spark)
     put = lambda rows: spark.createDataFrame(rows, "key string, hash string").write.mode("append").parquet(src)

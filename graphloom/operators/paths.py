@@ -43,7 +43,7 @@ def traverse(g: Graph, start: str, depth: int = 2, limit: int = 50) -> DataFrame
     return near.orderBy("hop", "label", "id").limit(limit).select("hop", "id", "label")
 
 
-def shortest_path(g: Graph, source: str, target: str, longest: int = 64) -> DataFrame:
+def shortest_path(g: Graph, source: str, target: str) -> DataFrame:
     """``step, id`` of the shortest undirected path, the lexicographically least among equals; empty if there is none.
 
     Layers grow from the source until the target is met; each reached node keeps its least path. Only nodes of the last
@@ -56,7 +56,7 @@ def shortest_path(g: Graph, source: str, target: str, longest: int = 64) -> Data
     if source == target:
         return layer.select(F.posexplode("path").alias("step", "id"))
     seen, _ = scratch.put(layer.select("id"), "seen")
-    for _ in range(longest):
+    while True:
         grown = arcs.join(layer.withColumnRenamed("id", "x"), "x").groupBy(F.col("y").alias("id")).agg(F.min(F.concat("path", F.array("y"))).alias("path"))
         layer, _ = scratch.put(grown.join(seen, "id", "left_anti").select("id", "path"), "layer")
         hit = layer.where(F.col("id") == target)

@@ -77,7 +77,7 @@ class ForeignKey:
     parent: str
 
 
-def orphan_cascade(tables: Mapping[str, Table], keys: Sequence[ForeignKey], rounds: int = 64) -> DataFrame:
+def orphan_cascade(tables: Mapping[str, Table], keys: Sequence[ForeignKey]) -> DataFrame:
     """Orphan references as ``tbl, column, month, direct, inherited, references``, counted per column and month.
 
     A reference is *direct* if its key stands in no row of the parent table, *inherited* if the parent row exists but is
@@ -108,7 +108,10 @@ def orphan_cascade(tables: Mapping[str, Table], keys: Sequence[ForeignKey], roun
             for p in parts[1:]:
                 new = new.unionByName(p)
             new = new.where("_ref is not null").distinct()
-            for old in orphans.get(name, []):
+            if orphans.get(name):
+                old = orphans[name][0]
+                for o in orphans[name][1:]:
+                    old = old.unionByName(o)
                 new = new.join(old, "_ref", "left_anti")
             new, _ = scratch.put(new, name)
             if new.limit(1).count():
@@ -122,7 +125,7 @@ def orphan_cascade(tables: Mapping[str, Table], keys: Sequence[ForeignKey], roun
         if tables[fk.child].key and any(k.parent == fk.child for k in keys):
             found.setdefault(fk.child, []).append(as_own(direct[fk]))
     frontier = add(found)
-    for _ in range(rounds):
+    while frontier:
         found = {}
         for fk in keys:
             if fk.parent in frontier and tables[fk.child].key and any(k.parent == fk.child for k in keys):
@@ -131,8 +134,6 @@ def orphan_cascade(tables: Mapping[str, Table], keys: Sequence[ForeignKey], roun
         if not found:
             break
         frontier = add(found)
-        if not frontier:
-            break
 
     out = None
     for fk in keys:

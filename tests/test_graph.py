@@ -181,6 +181,11 @@ def test_shortest_path_is_least(spark):
     assert shortest_path(g, "a", "f").count() == 0 and [tuple(r) for r in shortest_path(g, "a", "a").collect()] == [(0, "a")]
 
 
+def test_shortest_path_is_found_however_long(spark):
+    names = [f"n{i:02d}" for i in range(68)]
+    assert [r.id for r in shortest_path(g_of(spark, names, list(zip(names, names[1:]))), "n00", "n67").orderBy("step").collect()] == names
+
+
 def test_hyperedges(spark):
     h = lambda *m: spark.createDataFrame([(list(m), "r", 1)], HYPEREDGE_SCHEMA)
     many = [f"m{i:02d}" for i in range(20)]

@@ -115,6 +115,12 @@ def test_orphans_in_time(spark):
     assert graph_orphans(e, n.limit(0)).count() == 9 and graph_orphans(e.limit(0), n).count() == 0
 
 
+def test_cascade_reaches_the_end_of_long_chains(spark):
+    t = spark.createDataFrame([(f"{i:02d}", f"{i - 1:02d}" if i else "gone") for i in range(70)], "id string, up string")
+    got = orphan_cascade({"t": Table(t, "id")}, [ForeignKey("t", "up", "t")]).first()
+    assert (got.direct, got.inherited, got.references) == (1, 69, 70)
+
+
 def test_cascade_follows_keys_and_ends_on_cycles(spark):
     t = spark.createDataFrame([("r",)], "id string")
     a = spark.createDataFrame([("a1", "r"), ("a2", "gone"), ("a3", None)], "id string, up string")

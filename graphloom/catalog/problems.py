@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.eager_agg import crowded_endpoints, eager_join_aggregate, endpoint_counts
 from graphloom.operators.incremental import ContentState, pending_paths
-from graphloom.operators.references import ForeignKey, Table, graph_orphans, orphan_cascade
+from graphloom.operators.references import ForeignKey, Table, graph_orphans, orphan_cascade, project_keys
 from graphloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -86,15 +86,27 @@ def _pending(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("p4_after_commit", "SELECT '' AS path WHERE false")
-def p4_after_commit(spark: SparkSession, d: str) -> DataFrame:
-    """After the selected records are processed and committed, the next run over the same input selects nothing."""
+@query(
+    "p4_second_run",
+    """
+WITH half AS (SELECT min(scanned_at) + (max(scanned_at) - min(scanned_at)) / 2 AS t FROM file_manifest),
+early AS (SELECT path AS key, max(struct_pack(s := scanned_at, v := lower(sha256))).v AS hash FROM file_manifest, half WHERE sha256 IS NOT NULL AND path IS NOT NULL AND scanned_at < half.t GROUP BY path),
+late AS (SELECT path AS key, max(struct_pack(s := scanned_at, v := lower(sha256))).v AS hash FROM file_manifest WHERE sha256 IS NOT NULL AND path IS NOT NULL GROUP BY path),
+cached AS (SELECT path AS key, max(struct_pack(s := run_id, v := lower(hash))).v AS hash FROM hash_cache WHERE run_id IN (SELECT run_id FROM run_log WHERE status = 'ok') AND path IS NOT NULL GROUP BY path)
+SELECT key AS path, CASE WHEN early.key IS NULL AND cached.key IS NULL THEN 'new' ELSE 'changed' END AS change
+FROM late LEFT JOIN early USING (key) LEFT JOIN cached USING (key) WHERE NOT coalesce(late.hash = coalesce(early.hash, cached.hash), false)
+""",
+)
+def p4_second_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run over the scans of the first half of the time, committed, then the run after it over all scans."""
     state = ContentState(spark)
     manifest = table(spark, d, "file_manifest", "path", "scanned_at", "sha256")
-    args = manifest, table(spark, d, "hash_cache", "path", "hash", "run_id"), table(spark, d, "run_log", "run_id", "status")
-    todo = pending_paths(*args, state=state)
-    state.commit(todo.select("key", "hash", F.lit((1 << 62)).alias("seen")))
-    return pending_paths(*args, state=state).select(F.col("key").alias("path"))
+    cache, runs = table(spark, d, "hash_cache", "path", "hash", "run_id"), table(spark, d, "run_log", "run_id", "status")
+    ends = manifest.agg(F.min("scanned_at").alias("a"), F.max("scanned_at").alias("b")).first()
+    if ends.a is not None:
+        todo = pending_paths(manifest.where(F.col("scanned_at") < F.lit(ends.a + (ends.b - ends.a) / 2)), cache, runs, state)
+        state.commit(todo.select("key", "hash", F.lit(state.next_run()).alias("seen")))
+    return pending_paths(manifest, cache, runs, state).select(F.col("key").alias("path"), "change")
 
 
 _P6 = """
@@ -106,10 +118,18 @@ WHERE id <> '' AND split_part(id, ':', 2) <> 'link' AND NOT EXISTS (
 """
 
 
+def _graph_orphans(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "edges", "edge_id", "source", "target", "built_at")
+    return graph_orphans(edges, table(spark, d, "nodes", "id", "sourcefile", "built_at", "removed_at"), _files(spark, d))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files", "path").unionByName(table(spark, d, "documents", "path"))
+
+
 @query("p6_found", _P6)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "edges", "edge_id", "source", "target", "built_at")
-    return graph_orphans(edges, table(spark, d, "nodes", "id", "built_at", "removed_at")).select("edge_id", "endpoint")
+    return _graph_orphans(spark, d).select("edge_id", "endpoint")
 
 
 @query(
@@ -118,27 +138,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 JOIN (SELECT DISTINCT edge_id, built_at FROM edges) e USING (edge_id) GROUP BY ALL""",
 )
 def p6_by_month(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "edges", "edge_id", "source", "target", "built_at")
-    found = graph_orphans(edges, table(spark, d, "nodes", "id", "built_at", "removed_at"))
-    return found.groupBy("endpoint", F.date_format("built_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return _graph_orphans(spark, d).groupBy("endpoint", F.date_format("built_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _cascade_sql() -> str:
     files = "(SELECT path FROM source_files UNION SELECT path FROM documents)"
     bad_nodes = f"(SELECT DISTINCT id FROM nodes WHERE sourcefile <> '' AND id IS NOT NULL AND sourcefile NOT IN (SELECT path FROM {files} WHERE path IS NOT NULL))"
-    part = lambda tbl, col, period, parent, key, bad: (
-        f"SELECT '{tbl}' AS tbl, '{col}' AS \"column\", {period} AS month, count(*) FILTER (p.k IS NULL)::BIGINT AS direct, "
-        f"count(*) FILTER (b.id IS NOT NULL)::BIGINT AS inherited, count(*) AS \"references\" FROM {tbl} c "
-        f"LEFT JOIN (SELECT DISTINCT CAST({key} AS VARCHAR) AS k FROM {parent}) p ON CAST(c.{col} AS VARCHAR) = p.k "
-        f"LEFT JOIN {bad} b ON CAST(c.{col} AS VARCHAR) = b.id WHERE CAST(c.{col} AS VARCHAR) <> '' GROUP BY ALL"
-    )
     none = "(SELECT '' AS id WHERE false)"
+
+    def part(tbl: str, col: str, period: str, parent: str, key: str, bad: str, where: str = "true", alive: str = "true") -> str:
+        there = f"EXISTS (SELECT 1 FROM {parent} p WHERE CAST(p.{key} AS VARCHAR) = c.v AND {alive})"
+        return (
+            f"SELECT '{tbl}' AS tbl, '{col}' AS \"column\", month, count(*) FILTER (NOT there)::BIGINT AS direct, "
+            f"count(*) FILTER (there AND b.id IS NOT NULL)::BIGINT AS inherited, count(*) AS \"references\" FROM ("
+            f"SELECT v, {period} AS month, {there} AS there FROM (SELECT *, CAST({col} AS VARCHAR) AS v FROM {tbl} WHERE {where}) c WHERE v <> '') x "
+            f"LEFT JOIN {bad} b ON x.v = b.id GROUP BY ALL"
+        )
+
     ym = lambda c: f"strftime(c.{c}, '%Y-%m')"
+    lived = "p.built_at <= c.built_at AND (p.removed_at IS NULL OR p.removed_at > c.built_at)"
+    no_link = "split_part({0}, ':', 2) <> 'link'"
     return " UNION ALL ".join(
         [
             part("nodes", "sourcefile", ym("built_at"), files, "path", none),
-            part("edges", "source", ym("built_at"), "nodes", "id", bad_nodes),
-            part("edges", "target", ym("built_at"), "nodes", "id", bad_nodes),
+            part("edges", "source", ym("built_at"), "nodes", "id", bad_nodes, no_link.format("source"), lived),
+            part("edges", "target", ym("built_at"), "nodes", "id", bad_nodes, no_link.format("target"), lived),
             part("match_pairs", "left_id", ym("matched_at"), "nodes", "id", bad_nodes),
             part("match_pairs", "right_id", ym("matched_at"), "nodes", "id", bad_nodes),
             part("entities", "doc_id", ym("extracted_at"), "documents", "doc_id", none),
@@ -150,21 +174,17 @@ def _cascade_sql() -> str:
 @query("p6_cascade", _cascade_sql())
 def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans over the whole foreign-key graph of the project's tables."""
-    files = table(spark, d, "source_files", "path").unionByName(table(spark, d, "documents", "path"))
-    tables = {
-        "files": Table(files, "path"),
+    edges = Table(table(spark, d, "edges", "source", "target", "built_at"), None, "built_at")
+    nodes = Table(table(spark, d, "nodes", "id", "sourcefile", "built_at", "removed_at"), "id", "built_at", "built_at", "removed_at")
+    tables, keys = project_keys(edges, nodes, Table(_files(spark, d), "path"))
+    tables |= {
         "documents": Table(table(spark, d, "documents", "doc_id"), "doc_id"),
         "run_log": Table(table(spark, d, "run_log", "run_id"), "run_id"),
-        "nodes": Table(table(spark, d, "nodes", "id", "sourcefile", "built_at"), "id", "built_at"),
-        "edges": Table(table(spark, d, "edges", "source", "target", "built_at"), None, "built_at"),
         "match_pairs": Table(table(spark, d, "match_pairs", "left_id", "right_id", "matched_at"), None, "matched_at"),
         "entities": Table(table(spark, d, "entities", "doc_id", "extracted_at"), None, "extracted_at"),
         "hash_cache": Table(table(spark, d, "hash_cache", "run_id"), None, None),
     }
-    keys = [
-        ForeignKey("nodes", "sourcefile", "files"),
-        ForeignKey("edges", "source", "nodes"),
-        ForeignKey("edges", "target", "nodes"),
+    keys += [
         ForeignKey("match_pairs", "left_id", "nodes"),
         ForeignKey("match_pairs", "right_id", "nodes"),
         ForeignKey("entities", "doc_id", "documents"),

@@ -14,7 +14,7 @@ from graphloom.functions.scalar import repo_tag_ok, sanitize_text
 from graphloom.model import EDGE_FIELDS, NODE_FIELDS, Graph, is_lang_id, kind, normalise_edges, normalise_nodes
 from graphloom.operators.components import undirected
 from graphloom.plans.scratch import cut
-from graphloom.plans.skew import heavy_keys, salted_join
+from graphloom.plans.skew import crowded_keys, salted_join
 
 EDGE_KEY = ("source", "target", "relation")
 
@@ -96,7 +96,7 @@ def attach(edges: DataFrame, side: DataFrame, end: str, how: str = "inner", base
     ``base`` is the plain edge table the crowded ids are counted in, where ``edges`` is itself the result of a join.
     """
     other = [c for c in edges.columns if c != end]
-    return salted_join(edges, side, end, heavy_keys(edges if base is None else base, end), F.struct(*other), how)
+    return salted_join(edges, side, end, crowded_keys(edges if base is None else base, end), F.struct(*other), how)
 
 
 def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:

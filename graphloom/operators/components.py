@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import Scratch
-from graphloom.plans.skew import heavy_keys, salted_join
+from graphloom.plans.skew import crowded_keys, salted_join
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,11 +33,11 @@ def star_roots(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     while True:
         both, both_path = scratch.put(arcs(current), "arcs")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = salted_join(both, least, "x", heavy_keys(both, "x"), F.col("y")).where("y > x and m <> y")
+        large = salted_join(both, least, "x", crowded_keys(both, "x"), F.col("y")).where("y > x and m <> y")
         large, large_path = scratch.put(large.select(F.col("m").alias("u"), F.col("y").alias("v")).distinct(), "large")
         down = large.select(F.col("v").alias("x"), F.col("u").alias("y"))
         first = down.groupBy("x").agg(F.min("y").alias("m"))
-        small = salted_join(down, first, "x", heavy_keys(down, "x"), F.col("y"))
+        small = salted_join(down, first, "x", crowded_keys(down, "x"), F.col("y"))
         pair = F.array(F.struct(F.col("m").alias("u"), F.col("y").alias("v")), F.struct(F.col("m").alias("u"), F.col("x").alias("v")))
         small = small.select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         seen = Observation()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import import_segments, suffix_overlap
 from graphloom.model import EDGE_FIELDS, Graph, key, kind, lang
 from graphloom.operators.build import prune_orphan_calls, stored
-from graphloom.plans.skew import heavy_keys, salted_join
+from graphloom.plans.skew import crowded_keys, salted_join
 
 # Kinds that declare a type.
 TYPE_KINDS = ("class", "interface", "struct", "enum", "trait", "type", "protocol", "object", "mixin", "union")
@@ -43,7 +43,7 @@ def _named(wanted: DataFrame, declared: DataFrame) -> DataFrame:
     """References (``_eid``, l, name) joined with the declarations of that language and name; common names are spread."""
     k = F.concat_ws(":", "l", "name")
     left = wanted.withColumn("_k", k)
-    return salted_join(left, declared.withColumn("_k", k).drop("l", "name"), "_k", heavy_keys(left, "_k"), F.col("_eid"))
+    return salted_join(left, declared.withColumn("_k", k).drop("l", "name"), "_k", crowded_keys(left, "_k"), F.col("_eid"))
 
 
 def _with_id(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Shared scratch storage: where lineage is cut and where state tables live.
+"""Shared scratch storage: where lineage is cut and where intermediate tables live.
 
-Everything is written below ``spark.checkpoint.dir``, the folder all executors share, so a lost executor never
-takes intermediate results with it. Only where that setting is absent (tests, a laptop) is a folder of our own used.
+Everything is written below ``spark.checkpoint.dir``, the folder all executors share, so a lost executor never takes
+intermediate results with it. Where that setting is absent a folder of our own is used in local mode alone (tests, a
+laptop); on a cluster its absence is an error. All scratch of a session lies below one folder that the file system
+removes when the session's JVM ends; loops free their generations as they go.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,24 +17,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_roots: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets a private one if the session names none."""
+    """The shared folder of the session; in local mode a private one if the session names none."""
     global _own
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(configured)
         return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
+def session_root(spark: SparkSession) -> str:
+    """The session's own folder below the shared one; removed at the end of the JVM."""
+    base, app = shared_dir(spark), spark.sparkContext.applicationId
+    if (base, app) not in _roots:
+        root = f"{base}/graphloom-{app}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots[base, app] = root
+    return _roots[base, app]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A path below the session's folder that nothing else uses."""
+    return f"{session_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

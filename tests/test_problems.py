@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators.eager_agg import crowded_endpoints, eager_join_aggregate, endpoint_counts, key_profile
-from graphloom.operators.incremental import ContentState, content_hash, newest, pending_paths
-from graphloom.operators.references import ForeignKey, Table, graph_orphans, orphan_cascade
+from graphloom.operators.incremental import ConcurrentCommit, ContentState, content_hash, newest, pending_paths
+from graphloom.operators.references import ForeignKey, Table, graph_orphans, orphan_cascade, orphan_references, project_keys
 from graphloom.plans.rank import numbered
 from graphloom.plans.skew import heavy_keys, salted_join
 
@@ -93,6 +93,53 @@ def test_state_survives_a_crash_between_write_and_swap(spark, monkeypatch):
     assert rows(state.load()) == [("a", "2", 1), ("b", "1", 0), ("c", "1", 1)]
 
 
+STATE = "key string, hash string, seen bigint"
+
+
+def test_state_keeps_versions_apart_and_folds_them(spark):
+    state = ContentState(spark)
+    one = lambda key, hash_, seen: spark.createDataFrame([(key, hash_, seen)], STATE)
+    assert state.commit(one("a", "1", 0)) == 1
+    assert state.commit(one("a", "1", 0)) == 1, "nothing new, no version"
+    for i in range(1, 20):
+        assert state.commit(one("a" if i % 2 else "b", str(100 - i), i)) == i + 1
+    assert rows(state.load()) == [("a", "81", 19), ("b", "82", 18)]
+    kept = sorted(x.getPath().getName() for x in state._fs.listStatus(state._path(f"{state.root}/versions")))
+    assert kept == [f"{v:012d}" for v in (19, 20)] and len(state._parts(20)) <= 8
+    state.commit(spark.createDataFrame([], STATE), gone=spark.createDataFrame([("a",)], "key string"))
+    assert rows(state.load()) == [("b", "82", 18)]
+    state.commit(one("a", "1", 1))
+    assert rows(state.load()) == [("a", "1", 1), ("b", "82", 18)], "a key that went may return"
+    state.commit(one("c", "1", 0), merge=False)
+    assert rows(state.load()) == [("c", "1", 0)]
+
+
+def test_two_writers_lose_no_commit(spark):
+    first, second = ContentState(spark), None
+    second = ContentState(spark, first.root)
+    first.commit(spark.createDataFrame([("a", "1", 0)], STATE))
+    base = second.version()
+    first.commit(spark.createDataFrame([("b", "1", 0)], STATE))
+    with pytest.raises(ConcurrentCommit):
+        second.commit(spark.createDataFrame([("c", "1", 0)], STATE), expected=base)
+    stale = iter([base])
+    real = second.version
+    second.version = lambda: next(stale, None) or real()
+    second.commit(spark.createDataFrame([("c", "1", 0)], STATE))
+    assert rows(first.load()) == [("a", "1", 0), ("b", "1", 0), ("c", "1", 0)]
+
+
+def test_a_kept_state_is_only_brought_up_to_date(spark):
+    m = spark.createDataFrame([("x", T(0), "aa"), ("y", T(0), "bb")], "path string, scanned_at timestamp_ntz, sha256 string")
+    cache = [("x", "aa", 1), ("y", "b0", 1), ("y", "bb", 2)]
+    c = lambda n: spark.createDataFrame(cache[:n], "path string, hash string, run_id int")
+    runs = lambda second: spark.createDataFrame([(1, "ok"), (2, second)], "run_id int, status string")
+    state = ContentState(spark)
+    assert rows(pending_paths(m, c(2), runs("failed"), state)) == [("y", "bb", "changed")] and state.version() == 1
+    assert rows(pending_paths(m, c(3), runs("failed"), state)) == [("y", "bb", "changed")] and state.version() == 1
+    assert rows(pending_paths(m, c(3), runs("ok"), state)) == [] and state.version() == 2
+
+
 def test_content_hash_keeps_columns_apart(spark):
     df = spark.createDataFrame([("ab", "c"), ("a", "bc"), (None, "c"), ("", "c")], "x string, y string").select(content_hash("x", "y").alias("h"))
     assert df.distinct().count() == 4
@@ -121,6 +168,16 @@ def test_cascade_reaches_the_end_of_long_chains(spark):
     assert (got.direct, got.inherited, got.references) == (1, 69, 70)
 
 
+def test_references_to_orphaned_nodes_are_inherited(spark):
+    nodes = spark.createDataFrame([("n:a:1", "f", T(0), None), ("n:a:2", "lost", T(0), T(9)), ("n:a:3", "", T(0), None)], "id string, sourcefile string, built_at timestamp_ntz, removed_at timestamp_ntz")
+    edges = [(1, "n:a:1", "n:a:2", T(1)), (2, "n:a:1", "n:a:2", T(9)), (3, "n:a:3", "n:link:2", T(1)), (4, "n:a:9", None, None)]
+    e = spark.createDataFrame(edges, "edge_id bigint, source string, target string, built_at timestamp_ntz")
+    tables, keys = project_keys(Table(e, "edge_id", "built_at"), Table(nodes, "id", "built_at", "built_at", "removed_at"), Table(spark.createDataFrame([("f",)], "path string"), "path"))
+    got = rows(orphan_references(tables, keys).select("tbl", "key", "column", "state"))
+    assert got == [("edges", "1", "target", "inherited"), ("edges", "2", "target", "direct"), ("edges", "4", "source", "direct"), ("nodes", "n:a:2", "sourcefile", "direct")]
+    assert rows(graph_orphans(e, nodes, spark.createDataFrame([("f",)], "path string")).select("edge_id", "endpoint")) == [(2, "target"), (4, "source")]
+
+
 def test_cascade_follows_keys_and_ends_on_cycles(spark):
     t = spark.createDataFrame([("r",)], "id string")
     a = spark.createDataFrame([("a1", "r"), ("a2", "gone"), ("a3", None)], "id string, up string")

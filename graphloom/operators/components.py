@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import Scratch
@@ -40,11 +40,11 @@ def star_roots(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         small = salted_join(down, first, "x", crowded_keys(down, "x"), F.col("y"))
         pair = F.array(F.struct(F.col("m").alias("u"), F.col("y").alias("v")), F.struct(F.col("m").alias("u"), F.col("x").alias("v")))
         small = small.select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        seen = Observation()
-        small, new = scratch.put(small.observe(seen, F.count(F.lit(1)).alias("n")), "small")
-        done = small.agg(F.countDistinct("v").alias("d")).first().d == seen.get["n"] and (
-            small.select(F.col("u").alias("v")).join(small.select("v"), "v", "left_semi").limit(1).count() == 0
-        )
+        small, new = scratch.put(small, "small")
+        # Done when every vertex has one parent and no parent has one itself: the stars no longer touch.
+        ends = small.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(1).alias("up")))).alias("e")).select("e.x", "e.up")
+        held = ends.groupBy("x").agg(F.sum("up").alias("parents"), F.min("up").alias("least"))
+        done = held.where("parents > 1 or (parents = 1 and least = 0)").isEmpty()
         for p in (both_path, large_path, path):
             scratch.drop(p)
         current, path = small, new

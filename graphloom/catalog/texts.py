@@ -263,7 +263,7 @@ def document_sections(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "rationale_comments",
     r"""WITH l AS (SELECT path, string_split(text, chr(10)) AS ls FROM source_files), x AS (SELECT path, unnest(ls) AS l, generate_subscripts(ls, 1) AS line FROM l)
-SELECT path AS sourcefile, line || ':1' AS sourcelocation, trim(regexp_replace(regexp_extract(l, '^\s*(?:#|//|--|/\*)\s*((?:NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME|XXX|WARNING)(?::|\s).*)$', 1), '\s*\*/\s*$', '')) AS label
+SELECT path AS sourcefile, 'L' || line AS sourcelocation, trim(regexp_replace(regexp_extract(l, '^\s*(?:#|//|--|/\*)\s*((?:NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME|XXX|WARNING)(?::|\s).*)$', 1), '\s*\*/\s*$', '')) AS label
 FROM x WHERE regexp_matches(l, '^\s*(?:#|//|--|/\*)\s*(?:NOTE|IMPORTANT|HACK|WHY|RATIONALE|TODO|FIXME|XXX|WARNING)(?::|\s)')""",
 )
 def rationale_comments(spark: SparkSession, d: str) -> DataFrame:

@@ -263,3 +263,34 @@ def cache_key(parts: list[Column]) -> Column:
 
 def strip_frontmatter(c: str | Column) -> Column:
     return F.regexp_replace(_text(c), r"(?s)\A---\r?\n.*?\n---\r?\n", "")
+
+
+def trim_float(c: str | Column) -> Column:
+    """One decimal, without it where it is zero: 10.0 is 10, 2.25 is 2.2 (half to even)."""
+    return F.regexp_replace(round_one(c).cast("decimal(38,1)").cast("string"), r"\.0\z", "")
+
+
+def commas(c: str | Column) -> Column:
+    """A whole number with its digits in groups of three."""
+    return F.format_number(_c(c).cast("bigint"), 0)
+
+
+def truncate(c: str | Column, n: int) -> Column:
+    """The first ``n`` characters; '' for n <= 0."""
+    return F.substring(_c(c), 1, max(0, n))
+
+
+def derive_seed(members: str | Column) -> Column:
+    """A 64-bit seed from an array of strings in any order: FNV-1a over the sorted members, each closed by a zero byte."""
+
+    @F.pandas_udf("bigint")
+    def seed(groups: pd.Series) -> pd.Series:
+        def one(names) -> int:
+            h = 0xCBF29CE484222325
+            for byte in b"".join(x.encode() + b"\0" for x in sorted(names, key=str.encode)):
+                h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+            return h - (1 << 64) if h >> 63 else h
+
+        return pd.Series([one(g) if g is not None else None for g in groups], dtype="Int64")
+
+    return seed(_c(members))

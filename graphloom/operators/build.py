@@ -113,7 +113,8 @@ def prefix_graph(g: Graph, tag: str) -> Graph:
     nodes = g.nodes.withColumn("id", F.when(F.col("sourcefile") == "", F.col("id")).otherwise(p(F.col("id"))))
     edges = g.edges
     for end in ("source", "target"):
-        edges = edges.join(outside, F.col(end) == F.col("_x"), "left").withColumn(end, F.when(F.col("_x").isNull(), p(F.col(end))).otherwise(F.col(end))).drop("_x")
+        known = outside.select(F.col("_x").alias(end), F.lit(True).alias("_out"))
+        edges = attach(edges, known, end, "left", g.edges).withColumn(end, F.when(F.col("_out").isNull(), p(F.col(end))).otherwise(F.col(end))).drop("_out")
     return Graph(nodes, edges.select(*EDGE_FIELDS))
 
 
@@ -127,7 +128,7 @@ def merge_external(base: Graph, added: Graph) -> Graph:
     remap = target.where("id <> to").select(F.col("id").alias("_from"), "to").distinct()
     edges = added.edges
     for end in ("source", "target"):
-        edges = edges.join(remap, F.col(end) == F.col("_from"), "left").withColumn(end, F.coalesce("to", end)).drop("_from", "to")
+        edges = attach(edges, remap.withColumnRenamed("_from", end), end, "left", added.edges).withColumn(end, F.coalesce("to", end)).drop("to")
     nodes = base.nodes.unionByName(added.nodes.where("sourcefile <> ''")).unionByName(fresh)
     return Graph(nodes, base.edges.unionByName(edges.select(*EDGE_FIELDS)).distinct())
 

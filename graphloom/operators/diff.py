@@ -31,6 +31,38 @@ def diff_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change")).where("change is not null")
 
 
+def summary(old: Graph, new: Graph, limit: int | None = None) -> str:
+    """The change as a Markdown text: counts, then a section per kind of change that occurs, in the order of ids.
+
+    A text is one driver string by definition; ``limit`` lines a section (None: all) keep a large change readable.
+    """
+    n, e = diff_nodes(old, new), diff_edges(old, new)
+    counts = {(r.kind, r.change): r["count"] for r in n.select(F.lit("nodes").alias("kind"), "change").unionByName(e.select(F.lit("edges").alias("kind"), "change")).groupBy("kind", "change").count().collect()}
+    total = lambda kind, change: counts.get((kind, change), 0)
+    lines = ["# Graph diff", "", f"- {total('nodes', 'added')} nodes added, {total('nodes', 'removed')} removed, {total('nodes', 'changed')} changed"]
+    lines.append(f"- {total('edges', 'added')} edges added, {total('edges', 'removed')} removed")
+    fields = ("label", "community", "filetype")
+    a, b = (g.nodes.select("id", *(F.col(f).alias(f"{p}_{f}") for f in fields)) for p, g in (("a", old), ("b", new)))
+    rows = n.join(a, "id", "left").join(b, "id", "left")
+    cut_ = lambda df: df if limit is None else df.limit(limit)
+
+    def named(r, p: str) -> str:
+        return f"- {r[f'{p}_label'] or r['id']} ({r['id']})"
+
+    def moved(r) -> str:
+        words = {"label": "label", "community": "community", "filetype": "type"}
+        return f"- {r['id']}: " + " ".join(f'{w} "{r[f"a_{f}"]}"→"{r[f"b_{f}"]}"' for f, w in words.items() if r[f"a_{f}"] != r[f"b_{f}"])
+
+    for change, line in (("added", lambda r: named(r, "b")), ("removed", lambda r: named(r, "a")), ("changed", moved)):
+        if total("nodes", change):
+            lines += ["", f"## Nodes {change}", *(line(r) for r in cut_(rows.where(F.col("change") == change).orderBy("id")).collect())]
+    for change in ("added", "removed"):
+        if total("edges", change):
+            found = cut_(e.where(F.col("change") == change).orderBy("source", "target", "relation")).collect()
+            lines += ["", f"## Edges {change}", *(f"- {r.source} --{r.relation}--> {r.target}" for r in found)]
+    return "\n".join(lines) + "\n"
+
+
 def gate(old: Graph, new: Graph, max_added: int = -1, max_removed: int = -1, max_ambiguous: int = -1) -> DataFrame:
     """One row with the counts of a change and whether each stays within its limit (-1: no limit)."""
     n, e = diff_nodes(old, new), diff_edges(old, new)

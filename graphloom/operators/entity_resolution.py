@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import display_label, entropy, jaro_winkler, merge_bucket, normalize_label, shingles, winner_score
 from graphloom.model import EDGE_FIELDS, Graph
-from graphloom.operators.build import first_per_key
+from graphloom.operators.build import attach, first_per_key
 from graphloom.operators.components import components
+from graphloom.plans.scratch import cut
+from graphloom.plans.skew import crowded_keys, salted_join
 
 MIN_ENTROPY = 2.5
 MIN_SIMILARITY = 0.7
@@ -38,16 +40,16 @@ def fuzzy_candidates(nodes: DataFrame, similarity: str = "max") -> DataFrame:
     """
     named = nodes.select("id", merge_bucket().alias("b"), display_label().alias("l")).where(entropy("l") >= MIN_ENTROPY)
     named = named.select("id", "b", normalize_label("l").alias("n")).where("n <> ''")
-    each = named.groupBy("b", "n").agg(F.min("id").alias("id")).withColumn("s", shingles("n"))
+    each = cut(named.groupBy("b", "n").agg(F.min("id").alias("id")).withColumn("s", shingles("n")), "each")
     rows = each.select("id", "b", F.size("s").alias("size"), F.explode("s").alias("g"))
     rarity = rows.groupBy("b", "g").agg(F.count(F.lit(1)).alias("df"))
     ordered = rows.join(rarity, ["b", "g"]).groupBy("id", "b").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"), F.first("size").alias("size"))
     keep = (F.col("size") - F.ceil(F.col("size") * 7 / 10) + 1).cast("int")
     prefix = ordered.select("id", "b", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("id", "b", "size", F.col("p.g").alias("g"))
-    a, c = prefix.alias("a"), prefix.alias("c")
-    near = (F.col("a.b") == F.col("c.b")) & (F.col("a.g") == F.col("c.g")) & (F.col("a.id") < F.col("c.id"))
-    sized = F.least("a.size", "c.size") >= MIN_SIMILARITY * F.greatest("a.size", "c.size")
-    pairs = a.join(c, near).where(sized).select(F.col("a.id").alias("u"), F.col("c.id").alias("v")).distinct()
+    keyed = cut(prefix.select("id", "size", F.concat_ws("\u0001", "b", "g").alias("bg")), "prefix")
+    other = keyed.select(F.col("id").alias("v"), F.col("size").alias("other"), "bg")
+    fits = (F.col("id") < F.col("v")) & (F.least("size", "other") >= MIN_SIMILARITY * F.greatest("size", "other"))
+    pairs = salted_join(keyed, other, "bg", crowded_keys(keyed, "bg"), F.col("id")).where(fits).select(F.col("id").alias("u"), "v").distinct()
     sets = each.select("id", "s")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
@@ -87,6 +89,6 @@ def resolve_entities(g: Graph, decide: Callable[[DataFrame], DataFrame] | None =
     kept = nodes.join(remap, "id", "left_anti").select(*nodes.columns)
     edges = g.edges
     for end in ("source", "target"):
-        edges = edges.join(remap.select(F.col("id").alias(end), F.col("winner").alias("_w")), end, "left").withColumn(end, F.coalesce("_w", end)).drop("_w")
+        edges = attach(edges, remap.select(F.col("id").alias(end), F.col("winner").alias("_w")), end, "left", g.edges).withColumn(end, F.coalesce("_w", end)).drop("_w")
     edges = edges.where("source <> target").groupBy("source", "target", "relation").agg(F.max("confidence").alias("confidence"))
     return g.with_(nodes=kept, edges=edges.select(*EDGE_FIELDS)), remap

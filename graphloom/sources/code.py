@@ -220,6 +220,10 @@ def scan(path: str, text: str, lang: Language) -> Extraction:
         open_.append((end, id_, kind))
         if kind in lang.functions:
             spans.append((pos, end, id_, name))
+    if lang.tag == "go":
+        for pos, end in zip(order, ends):
+            if found[pos][0] == "type":
+                _go_members(x, code, pos, end, found[pos][1], at)
     for pattern in lang.imports:
         for m in re.finditer(pattern, seen, re.M):
             for p in import_paths(m["path"], lang.tag):
@@ -241,6 +245,46 @@ def scan(path: str, text: str, lang: Language) -> Extraction:
     return x
 
 
+def _go_members(x: Extraction, code: str, pos: int, end: int, name: str, at) -> None:
+    """Fields and embedded types of a struct, methods and embedded types of an interface: what stands at depth one."""
+    body = re.compile(rf"{name}\s*(?:\[[^\]]*\])?\s*(struct|interface)\s*\{{").match(code, pos)
+    if not body:
+        return
+    own, depth, start = f"go:type:{x.path}:{name}", 0, body.end()
+    pieces = []
+    for i in range(body.end(), min(end, len(code))):
+        c = code[i]
+        depth += c in "{(["
+        depth -= c in "})]"
+        if c in "\n;" and depth == 0:
+            pieces.append((start, code[start:i]))
+            start = i + 1
+    pieces.append((start, code[start : min(end, len(code))]))
+    for offset, piece in pieces:
+        place = at(offset + len(piece) - len(piece.lstrip()))
+        if base := re.match(rf"\s*\*?((?:{_ID}\.)?{_ID})(?:\[[^\n]*\])?\s*(?:[\"`].*)?$", piece):
+            x.edge(own, x.symbol("typeref", simple_type(base[1])), "embeds")
+        elif body[1] == "interface":
+            if m := re.match(rf"\s*({_ID})\s*\(", piece):
+                x.declare("method", m[1], own, *place, name)
+        elif m := re.match(rf"\s*({_ID}(?:\s*,\s*{_ID})*)\s+\S", piece):
+            for field_ in re.split(r"\s*,\s*", m[1]):
+                x.declare("field", field_, own, *place, name)
+
+
+def declared_functions(path: str, text: str, tag: str) -> dict[int, str]:
+    """Row -> name of the functions a file of language ``tag`` declares, as the extraction finds them."""
+    if tag == "py":
+        return {int(n[3].partition(":")[0]) - 1: n[1] for i, n in parse_python(path, text).nodes.items() if i.startswith("py:function:") and n[1] != "<anonymous>"}
+    lang = next((x for x in LANGUAGES if x.tag == tag), None)
+    if lang is None:
+        return {}
+    code = blank(text, lang)
+    lines = [0, *(m.end() for m in re.finditer("\n", code))]
+    wanted = ("function", "method") if tag == "go" else ("function",)
+    return {bisect_right(lines, m.start("name")) - 1: m["name"] for kind, pattern in lang.declarations if kind in wanted for m in re.finditer(pattern, code, re.M)}
+
+
 def import_paths(raw: str, tag: str) -> list[str]:
     """The paths one import statement names, groups opened."""
     raw = re.sub(r"\s+as\s+\w+", "", " ".join(raw.split()))

@@ -6,10 +6,13 @@ import ipaddress
 import socket
 import urllib.error
 import urllib.request
+from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Entities in the order they are decoded.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"))
@@ -21,57 +24,120 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def html_to_markdown(page: str | Column) -> Column:
+class _Reader(HTMLParser):
+    """Collects a page's readable text as Markdown, the source ranges of its regions, and its social metadata."""
+
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=False)
+        self.out: list[str] = []
+        self.hidden: list[str] = []
+        self.open: dict[str, list[int]] = {"article": [], "main": []}
+        self.regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
+        self.meta: dict[str, str] = {}
+        self.source, self.starts = source, [0]
+        for line in source.split("\n"):
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.feed(source)
+        self.close()
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def _say(self, text: str) -> None:
+        if not self.hidden:
+            self.out.append(text)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "meta":
+            named = dict(attrs)
+            key, value = (named.get("property") or named.get("name") or "").lower(), " ".join((named.get("content") or "").splitlines()).strip()
+            if key.startswith(("og:", "twitter:")) and value:
+                self.meta.setdefault(key, value)
+        if tag in CHROME:
+            self.hidden.append(tag)
+        elif tag in self.open:
+            self.open[tag].append(self._at() + len(self.get_starttag_text()))
+        elif tag == "p":
+            self._say("\n\n")
+        elif tag == "li":
+            self._say("\n- ")
+        elif tag == "br":
+            self._say("\n")
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            self._say("\n\n" + "#" * int(tag[1]) + " ")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag not in CHROME and tag not in self.open:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif tag in self.open and self.open[tag]:
+            self.regions[tag].append((self.open[tag].pop(), self._at()))
+        elif tag == "p" or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
+            self._say("\n\n")
+
+    def handle_data(self, data: str) -> None:
+        self._say(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self._say(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self._say(f"&#{name};")
+
+    def markdown(self) -> str:
+        text = "".join(self.out)
+        for entity, char in ENTITIES:
+            text = text.replace(entity, char)
+        lines = [x if x.strip() else "" for x in text.split("\n")]
+        kept = [x for i, x in enumerate(lines) if x or (i and lines[i - 1])]
+        return "\n".join(kept).strip()
+
+    def main_region(self) -> str | None:
+        """Source of the largest article, or else of the largest main."""
+        for tag in ("article", "main"):
+            pieces = [self.source[a:b] for a, b in self.regions[tag]]
+            if best := max(pieces, key=lambda x: len(x.encode()), default=""):
+                return best
+        return None
+
+
+def page_markdown(page: str | None) -> str:
     """Readable text of a page: its largest article (else main) region without chrome; headings, paragraphs and list items
     as Markdown, other tags dropped, basic entities decoded last."""
-    s = F.coalesce(_c(page), F.lit(""))
+    whole = _Reader(page or "")
+    region = whole.main_region()
+    return (whole if region is None else _Reader(region)).markdown()
+
 
-    def largest(tag: str) -> Column:
-        all_ = F.regexp_extract_all(s, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</\s*{tag}\s*>"), 1)
-        return F.aggregate(all_, F.lit(""), lambda best, x: F.when(F.octet_length(x) > F.octet_length(best), x).otherwise(best))
+@F.pandas_udf(StringType())
+def _markdown(pages: pd.Series) -> pd.Series:
+    return pages.map(page_markdown, na_action=None)
 
-    article, main = largest("article"), largest("main")
-    s = F.when(article != "", article).when(main != "", main).otherwise(s)
-    for tag in CHROME:
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</\s*{tag}\s*>", "")
-    for level in range(1, 7):
-        s = F.regexp_replace(s, rf"(?is)<h{level}\b[^>]*>(.*?)</\s*h{level}\s*>", "\n\n" + "#" * level + " $1\n\n")
-    s = F.regexp_replace(s, r"(?is)<p\b[^>]*>(.*?)</\s*p\s*>", "\n\n$1\n\n")
-    s = F.regexp_replace(s, r"(?is)<li\b[^>]*>(.*?)</\s*li\s*>", "\n- $1")
-    s = F.regexp_replace(s, r"(?is)<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"(?is)<[^>]+>", "")
-    for entity, char in ENTITIES:
-        s = F.replace(s, F.lit(entity), F.lit(char))
-    s = F.regexp_replace(s, r"\n[ \t\r\f]*\n[ \t\r\f]*\n\s*", "\n\n")
-    return F.regexp_replace(s, r"^\s+|\s+\z", "")
+
+def html_to_markdown(page: str | Column) -> Column:
+    """:func:`page_markdown` of a column of pages; '' for null."""
+    return _markdown(_c(page))
 
 
-def _of(pairs: Column, name: str) -> Column:
-    return F.filter(pairs, lambda p: F.lower(p["k"]) == name)
+def page_tags(page: str | None) -> dict[str, str]:
+    """title, description, image and site_name of a page's og: metas, or of its twitter: metas where those are missing."""
+    meta = _Reader(page or "").meta
+    return {k: meta.get(f"og:{k}") or meta.get(f"twitter:{k}", "") if k != "site_name" else meta.get("og:site_name", "") for k in ("title", "description", "image", "site_name")}
+
+
+@F.pandas_udf(StructType([StructField(k, StringType()) for k in ("title", "description", "image", "site_name")]))
+def _tags(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([page_tags(p) for p in pages], columns=["title", "description", "image", "site_name"])
 
 
 def og_tags(page: str | Column) -> Column:
-    """Struct of title, description, image and site_name from og: and twitter: metas in either attribute order."""
-    s = F.coalesce(_c(page), F.lit(""))
-    name = r"(?:property|name)\s*=\s*[\"']((?:og|twitter):[a-z_:]+)[\"']"
-    content = r"content\s*=\s*[\"']([^\"']*)[\"']"
-    one = rf"(?is)<meta\s[^>]*?{name}[^>]*?{content}"
-    two = rf"(?is)<meta\s[^>]*?{content}[^>]*?{name}"
-    named = lambda k, v: F.zip_with(k, v, lambda a, b: F.struct(a.alias("k"), b.alias("v")))
-    found = lambda pattern, group: F.regexp_extract_all(s, F.lit(pattern), group)
-    pairs = F.concat(named(found(one, 1), found(one, 2)), named(found(two, 2), found(two, 1)))
-
-    def first(*keys: str) -> Column:
-        out = F.lit("")
-        for k in reversed(keys):
-            v = F.trim(F.regexp_replace(F.try_element_at(_of(pairs, k), F.lit(1))["v"], r"[\r\n]+", " "))
-            out = F.when(F.coalesce(v, F.lit("")) != "", v).otherwise(out)
-        return out
-
-    return F.struct(
-        first("og:title", "twitter:title").alias("title"), first("og:description", "twitter:description").alias("description"),
-        first("og:image", "twitter:image").alias("image"), first("og:site_name").alias("site_name"),
-    )
+    """Struct of :func:`page_tags`."""
+    return _tags(_c(page))
+
 
 
 def route(url: str | Column) -> Column:

@@ -331,3 +331,24 @@ def test_token_benchmark(spark):
 def test_questions_short_circuit(spark):
     empty = Graph(g_of(spark, ["a"], []).nodes.limit(0), g_of(spark, ["a"], []).edges.limit(0))
     assert analyze.questions(empty).count() == 0
+
+
+def test_diff_summary(spark):
+    node = "id string, label string, community string, filetype string"
+    old = graph(spark.createDataFrame([("a", "A", "1", "code"), ("b", "B", "", "")], node), spark.createDataFrame([("a", "b", "calls", 0)], EDGE_SCHEMA))
+    new = graph(spark.createDataFrame([("a", "A2", "2", "code"), ("c", "", "", "")], node), spark.createDataFrame([("a", "c", "calls", 0)], EDGE_SCHEMA))
+    text = diff.summary(old, new)
+    assert text == (
+        "# Graph diff\n\n- 1 nodes added, 1 removed, 1 changed\n- 1 edges added, 1 removed\n\n## Nodes added\n- c (c)\n\n## Nodes removed\n- B (b)\n\n## Nodes changed\n"
+        '- a: label "A"→"A2" community "1"→"2"\n\n## Edges added\n- a --calls--> c\n\n## Edges removed\n- a --calls--> b\n'
+    )
+    assert diff.summary(old, old).count("\n") == 4
+
+
+def test_number_formats_and_seed(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert [one(fn.trim_float(F.lit(x))) for x in (10.0, 2.25, 2.75, -0.5, 1234567.0)] == ["10", "2.2", "2.8", "-0.5", "1234567"]
+    assert [one(fn.commas(F.lit(x))) for x in (0, 999, 1000, -1234567)] == ["0", "999", "1,000", "-1,234,567"]
+    assert [one(fn.truncate(F.lit("äöü"), n)) for n in (0, 2, 9)] == ["", "äö", "äöü"]
+    assert one(fn.derive_seed(F.array(F.lit("b"), F.lit("a")))) == one(fn.derive_seed(F.array(F.lit("a"), F.lit("b"))))
+    assert one(fn.derive_seed(F.array().cast("array<string>"))) == 0xCBF29CE484222325 - (1 << 64)

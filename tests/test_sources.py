@@ -328,3 +328,27 @@ def test_stream_of_changes(spark, tmp_path):
     put([("a", "1"), ("b", "2"), ("c", "1")])
     drain()
     assert seen == [["a", "b"], ["b", "c"]]
+
+
+def test_go_members():
+    text = "package p\n\ntype Base struct{}\n\ntype T struct {\n\tBase\n\t*io.Reader\n\tx, y int // place\n\tm map[string]func(a int) error\n\tin struct {\n\t\tdeep int\n\t}\n}\n\ntype I interface {\n\tfmt.Stringer\n\tRun(a int) error\n}\n"
+    x = code.scan("a.go", text, code.BY_EXTENSION[".go"])
+    members = {i for i in x.nodes if i.split(":")[1] in ("field", "method")}
+    assert members == {"go:field:a.go:T.x", "go:field:a.go:T.y", "go:field:a.go:T.m", "go:field:a.go:T.in", "go:method:a.go:I.Run"}
+    assert ("go:type:a.go:T", "go:field:a.go:T.x", "contains") in x.edges
+    assert {e for e in x.edges if e[2] == "embeds"} == {("go:type:a.go:T", "go:typeref:Base", "embeds"), ("go:type:a.go:T", "go:typeref:Reader", "embeds"), ("go:type:a.go:I", "go:typeref:Stringer", "embeds")}
+
+
+def test_rationale_locations_and_functions():
+    x = markup.rationale_of("a.py", "# TODO: x\n@deco\nasync def run():\n    pass\n# NOTE y\nz = 1\n")
+    assert {(n[3], n[4]) for n in x.nodes.values()} == {("L1", "rationale"), ("L5", "rationale")}
+    assert set(x.edges) == {("py:rationale:a.py:L1", "py:function:a.py:run", "rationale_for"), ("py:rationale:a.py:L5", "py:module:a.py", "rationale_for")}
+    assert {e[1] for e in markup.rationale_of("a.ts", "// HACK: q\nexport const go = async (x) => x\n").edges} == {"ts:function:a.ts:go"}
+
+
+def test_pages_without_regions_and_broken_ones():
+    assert web.page_markdown(None) == "" and web.page_markdown("") == ""
+    assert web.page_markdown("<main><p>one</p></main><p>two") == "one"
+    assert web.page_markdown("<div>a<script>x<p>y</script>b</div>") == "ab"
+    assert web.page_markdown("<h1>T</h1><p>a&nbsp;b</p>\n\n\n<p>c &#39;d&#39;") == "# T\n\na b\n\nc 'd'"
+    assert web.page_tags("<meta property='og:title' content=''><meta name='twitter:title' content='X'><meta name='og:site_name' content='S'>") == {"title": "X", "description": "", "image": "", "site_name": "S"}

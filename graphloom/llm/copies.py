@@ -14,6 +14,7 @@ memory: nothing passes through the driver, and no task holds more than one segme
 from __future__ import annotations
 
 import os
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -90,7 +91,7 @@ def _store(path: str, data: bytes) -> None:
     if path.startswith("file:"):
         local = path[5:].replace("//", "", 1) if path.startswith("file://") else path[5:]
         os.makedirs(os.path.dirname(local), exist_ok=True)
-        tmp = f"{local}.{os.getpid()}"
+        tmp = f"{local}.{uuid.uuid4().hex}"
         with open(tmp, "wb") as f:
             f.write(data)
         os.replace(tmp, local)
@@ -99,8 +100,22 @@ def _store(path: str, data: bytes) -> None:
 
     system, p = fs.FileSystem.from_uri(path)
     system.create_dir(os.path.dirname(p), recursive=True)
-    with system.open_output_stream(p) as f:
+    tmp = f"{p}.{uuid.uuid4().hex}"
+    with system.open_output_stream(tmp) as f:
         f.write(data)
+    system.move(tmp, p)
+
+
+def _fetch(path: str) -> bytes:
+    """One whole file below the shared folder."""
+    if path.startswith("file:"):
+        with open(path[5:].replace("//", "", 1) if path.startswith("file://") else path[5:], "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, p = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(p) as f:
+        return f.read()
 
 
 def _merge(root: str):
@@ -143,11 +158,7 @@ class _Segments:
         if path.startswith("file:"):
             bits = np.memmap(path[5:].replace("//", "", 1) if path.startswith("file://") else path[5:], np.uint8, "r")
         else:
-            from pyarrow import fs
-
-            system, p = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(p) as f:
-                bits = np.frombuffer(f.read(), np.uint8)
+            bits = np.frombuffer(_fetch(path), np.uint8)
         self.open[seg] = bits
         if len(self.open) > OPEN_SEGMENTS:
             self.open.popitem(last=False)
@@ -158,12 +169,12 @@ def possible_repeats(hashes: DataFrame, column: str, rows: int | None = None) ->
     """Build the merged filters over the hash column and return a predicate on it: can this hash stand twice?
 
     The predicate has no false negatives; with 8 bits a key about one singleton in ten thousand passes it. ``rows``, an
-    upper bound of the number of hashes, fixes the filter's size (counted if not given).
+    upper bound of the number of hashes, fixes the filter's size (if not given, the rows of the table are counted).
     """
     spark = hashes.sparkSession
     h = hashes.select(F.col(column).alias("h")).where("h is not null")
     if rows is None:
-        rows = h.count()
+        rows = hashes.count()
     segments = max(1, -(-rows * BITS_PER_KEY // SEGMENT_BITS))
     root = fresh_path(spark, "bloom")
     local = h.mapInArrow(_local_filters(segments), "segment int, once binary, rep binary")

@@ -1,13 +1,15 @@
 """Evaluation texts leaking into training text.
 
 Every shard of the corpus gets an FM-index over its words: suffix array, Burrows-Wheeler transform, a wavelet matrix for
-rank queries and a sampled suffix array. All runs of ``WORDS`` words of the test items are searched backwards through
-the wavelet ranks at once, the surviving ranges are located by walking to sampled suffixes, and overlapping or adjoining
-hits of one item in one document are merged into removal spans.
+rank queries and a sampled suffix array. The corpus is read and indexed once, whatever the number of test items: the
+indexes are stored in the shared folder, and all blocks of test items are searched in each of them. All runs of ``WORDS``
+words of a block are searched backwards through the wavelet ranks at once, the surviving ranges are located by walking to
+sampled suffixes, and overlapping or adjoining hits of one item in one document are merged into removal spans.
 
-Only words that occur in test items can take part in a match, so a shard keeps the document stretches of at least
-``WORDS`` such words and parts them by a sentinel; the rest of the text is read but not indexed. Each document lies whole
-in one shard. Nothing is hashed or sampled away: hits are exact.
+Only words that occur in test items can take part in a match. As long as the items have at most ``VOCABULARY`` different
+words, those are sent to the executors, and a shard indexes the stretches of at least ``WORDS`` such words alone, parted
+by a sentinel; beyond that number every word is indexed. The result is the same and exact: nothing is sampled away. Each
+document lies whole in one shard. A word stands for its 64-bit hash.
 
 Words are the longest runs of Unicode letters and digits, case folded. Null and empty texts match nothing, repeated rows
 give repeated spans, items with fewer than ``WORDS`` words cannot be found.
@@ -15,25 +17,33 @@ give repeated spans, items with fewer than ``WORDS`` words cannot be found.
 
 from __future__ import annotations
 
+import io
 import re
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.copies import _fetch, _store
+from graphloom.plans.scratch import cut, fresh_path
 from graphloom.plans.spread import spread
 
 WORDS = 12
-#: A shard is indexed when it holds this many words or this many characters of candidate documents.
+#: A shard is indexed when it holds this many words.
 SHARD_WORDS = 1 << 20
-SHARD_CHARS = 1 << 25
 #: One suffix position in this many is stored.
 SAMPLE = 16
-#: Test items are taken to the executors in blocks of about this many bytes, one pass over the corpus per block.
+#: Test items are stored in blocks of about this many bytes.
 ITEM_BYTES = 1 << 22
+#: Different words of the test items up to which they are broadcast (8 bytes each) to pass over text that cannot match.
+VOCABULARY = 1 << 22
+#: Words whose numbers a task remembers.
+REMEMBERED = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -47,21 +57,64 @@ def _folded_words(text: str) -> list[str]:
     return _WORD.findall(text.casefold()) if text.isascii() or len(text.casefold()) == len(text) else words_of(text)
 
 
+class _Numbers(dict):
+    """Word -> 64-bit number; 0 for words that no test item has, where those are known."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word) or 1
+        if self.vocabulary is not None:
+            at = int(np.searchsorted(self.vocabulary, np.uint64(h)))
+            if at == len(self.vocabulary) or int(self.vocabulary[at]) != h:
+                h = 0
+        self[word] = h
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 class Phrases:
-    """The distinct runs of ``k`` words of a set of items, as rows of word numbers (1 …), and the items of each."""
+    """The distinct runs of ``k`` words of a set of items, as rows of word numbers, and the items of each."""
 
     def __init__(self, items: list[tuple[int, str]], k: int = WORDS):
-        self.k, self.vocabulary = k, {}
-        owners: dict[tuple, set] = defaultdict(set)
+        self.k, numbers, rows, owners = k, _Numbers(), [], []
         for item, text in items:
-            words = words_of(text or "")
-            if len(words) < k:
-                continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for i in range(len(ids) - k + 1):
-                owners[tuple(ids[i : i + k])].add(item)
-        self.rows = np.array(list(owners), np.int32).reshape(-1, k)
-        self.owners = [sorted(x) for x in owners.values()]
+            ids = numbers.of(words_of(text or ""))
+            if len(ids) >= k:
+                runs = np.lib.stride_tricks.sliding_window_view(ids, k)
+                rows.append(runs)
+                owners.append(np.full(len(runs), item, np.int64))
+        found = np.concatenate(rows) if rows else np.zeros((0, k), np.uint64)
+        self.rows, place = np.unique(found, axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack([place.ravel(), np.concatenate(owners)]), axis=0) if rows else np.zeros((0, 2), np.int64)
+        self.start = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.items = pairs[:, 1]
+
+    @property
+    def vocabulary(self) -> np.ndarray:
+        return np.unique(self.rows)
+
+    def dump(self) -> bytes:
+        return _dump(rows=self.rows, start=self.start, items=self.items)
+
+    @classmethod
+    def load(cls, data: bytes) -> Phrases:
+        out, z = cls.__new__(cls), np.load(io.BytesIO(data))
+        out.rows, out.start, out.items = z["rows"], z["start"], z["items"]
+        out.k = out.rows.shape[1]
+        return out
+
+
+def _dump(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -97,6 +150,15 @@ class WaveletMatrix:
             self.zeros.append(int(len(bit) - bit.sum()))
             current = np.r_[current[bit == 0], current[bit == 1]]
 
+    @classmethod
+    def from_vectors(cls, vectors: np.ndarray) -> WaveletMatrix:
+        """The matrix of stored bit vectors, one row per level."""
+        out = cls.__new__(cls)
+        out.bits, out.vectors = len(vectors), list(vectors)
+        out.ones = [np.r_[0, np.cumsum(v)].astype(np.int32) for v in vectors]
+        out.zeros = [int(len(v) - v.sum()) for v in vectors]
+        return out
+
     def rank(self, symbols: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often ``symbols[i]`` stands before position ``upto[i]``."""
         lo, hi = np.zeros_like(upto), upto.copy()
@@ -132,6 +194,19 @@ class FMIndex:
         self.positions = order[self.kept]
         self.n = len(text)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What :meth:`from_arrays` needs; prefix counts are made again."""
+        return {"first": self.first, "levels": np.packbits(np.stack(self.tree.vectors), axis=1), "kept": np.packbits(self.kept), "positions": self.positions, "n": np.int64(self.n)}
+
+    @classmethod
+    def from_arrays(cls, z) -> FMIndex:
+        out = cls.__new__(cls)
+        out.n, out.first, out.positions = int(z["n"]), z["first"], z["positions"]
+        out.tree = WaveletMatrix.from_vectors(np.unpackbits(z["levels"], axis=1, count=out.n).astype(bool))
+        out.kept = np.unpackbits(z["kept"], count=out.n).astype(bool)
+        out.kept_before = np.r_[0, np.cumsum(out.kept)]
+        return out
+
     def search(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(row, lo, hi)`` of the suffix ranges that start with the phrases of ``rows``, where not empty."""
         alive = np.arange(len(rows))
@@ -161,93 +236,152 @@ class FMIndex:
 class _Shard:
     """Documents gathered until they are worth an index."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases = phrases
+    def __init__(self, phrases: Phrases | None = None, vocabulary: np.ndarray | None = None, k: int = WORDS):
+        self.phrases, self.k = phrases, phrases.k if phrases else k
+        self.numbers = _Numbers(phrases.vocabulary if phrases else vocabulary)
         self.clear()
 
     def clear(self) -> None:
-        self.docs, self.parts, self.runs, self.words, self.chars = [], [], [], 0, 0
+        self.docs, self.parts, self.runs, self.begin, self.end, self.words = [], [], [], [], [], 0
 
     def add(self, doc_id: int, text: str) -> None:
-        k, number = self.phrases.k, self.phrases.vocabulary.get
-        ids = np.fromiter((number(w, 0) for w in _folded_words(text)), np.int32)
-        if len(ids) < k:
+        ids = self.numbers.of(_folded_words(text))
+        if len(ids) < self.k:
             return
         edges = np.flatnonzero(np.diff(np.r_[0, ids != 0, 0].astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
-        long = ends - starts >= k
+        long = ends - starts >= self.k
         if not long.any():
             return
-        for a, b in zip(starts[long], ends[long]):
+        bounds = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             self.runs.append((self.words, len(self.docs), a))
-            self.parts.append(ids[a:b])
-            self.parts.append(np.zeros(1, np.int32))
+            self.parts += [ids[a:b], np.zeros(1, np.uint64)]
+            self.begin += [bounds[a:b, 0], np.zeros(1, np.int64)]
+            self.end += [bounds[a:b, 1], np.zeros(1, np.int64)]
             self.words += b - a + 1
-        self.docs.append((doc_id, text))
-        self.chars += len(text)
+        self.docs.append(doc_id)
 
     def full(self) -> bool:
-        return self.words >= SHARD_WORDS or self.chars >= SHARD_CHARS
+        return self.words >= SHARD_WORDS
 
-    def spans(self) -> pd.DataFrame | None:
-        """Removal spans of the shard's documents; the shard is empty afterwards."""
+    def index(self) -> Indexed | None:
+        """The index of what was gathered, None if that is nothing; the shard is empty afterwards."""
         if not self.parts:
             return None
-        index = FMIndex(np.concatenate(self.parts), len(self.phrases.vocabulary))
-        which, lo, hi = index.search(self.phrases.rows)
-        hits = hi - lo
-        ranks = np.repeat(lo - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
-        at, phrase = index.locate(ranks), np.repeat(which, hits)
-        run_start = np.array([r[0] for r in self.runs])
-        run = np.searchsorted(run_start, at, "right") - 1
-        found: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for p, r, t in zip(phrase.tolist(), run.tolist(), at.tolist()):
-            start, doc, offset = self.runs[r]
-            for item in self.phrases.owners[p]:
-                found[doc, item].append(int(offset + t - start))
-        rows, bounds = [], {}
-        for (doc, item), firsts in sorted(found.items()):
-            if doc not in bounds:
-                bounds[doc] = [m.span() for m in _WORD.finditer(self.docs[doc][1])]
-            firsts.sort()
-            a = b = firsts[0]
-            for f in [*firsts[1:], None]:
-                if f is None or f > b + self.phrases.k:
-                    rows.append((self.docs[doc][0], item, bounds[doc][a][0], bounds[doc][b + self.phrases.k - 1][1], b - a + self.phrases.k))
-                    a = f
-                b = f
+        hashes = np.concatenate(self.parts)
+        alphabet = np.unique(hashes[hashes != 0])
+        symbols = np.where(hashes == 0, 0, np.searchsorted(alphabet, hashes) + 1)
+        out = Indexed(FMIndex(symbols, len(alphabet)), alphabet, np.array(self.docs, np.int64), np.array(self.runs, np.int64), np.concatenate(self.begin), np.concatenate(self.end))
         self.clear()
-        return pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "words"])
+        return out
+
+    def spans(self) -> pd.DataFrame | None:
+        """Removal spans of the shard's own phrases; the shard is empty afterwards."""
+        made = self.index()
+        return None if made is None else made.spans(self.phrases)
+
 
+@dataclass
+class Indexed:
+    """An FM-index with the words its symbols stand for and the places its positions have in the documents.
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in driver-sized blocks; their number follows from their size, none is left out."""
+    ``runs`` has, per stretch, its first position, its document and the number of its first word there; ``begin`` and
+    ``end`` are the bounds of every word in characters.
+    """
+
+    fm: FMIndex
+    alphabet: np.ndarray
+    docs: np.ndarray
+    runs: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+    def dump(self) -> bytes:
+        return _dump(alphabet=self.alphabet, docs=self.docs, runs=self.runs, begin=self.begin, end=self.end, **self.fm.arrays())
+
+    @classmethod
+    def load(cls, data: bytes) -> Indexed:
+        z = np.load(io.BytesIO(data))
+        return cls(FMIndex.from_arrays(z), *(z[k] for k in ("alphabet", "docs", "runs", "begin", "end")))
+
+    def spans(self, phrases: Phrases) -> pd.DataFrame:
+        """``doc_id, item_id, start, end, words``: merged stretches of the phrases' items."""
+        at = np.minimum(np.searchsorted(self.alphabet, phrases.rows), len(self.alphabet) - 1)
+        usable = np.flatnonzero((self.alphabet[at] == phrases.rows).all(axis=1))
+        which, lo, hi = self.fm.search(at[usable] + 1)
+        hits = hi - lo
+        ranks = np.repeat(lo - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
+        where, phrase = self.fm.locate(ranks), np.repeat(usable[which], hits)
+        owners = phrases.start[phrase + 1] - phrases.start[phrase]
+        item = phrases.items[np.repeat(phrases.start[phrase] - np.r_[0, np.cumsum(owners)[:-1]], owners) + np.arange(owners.sum())]
+        where = np.repeat(where, owners)
+        run = np.searchsorted(self.runs[:, 0], where, "right") - 1 if len(where) else where
+        doc = self.runs[run, 1] if len(where) else where
+        word = self.runs[run, 2] + where - self.runs[run, 0] if len(where) else where
+        order = np.lexsort((word, item, doc))
+        doc, item, word, where = doc[order], item[order], word[order], where[order]
+        fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + phrases.k)] if len(doc) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        last = np.r_[first[1:], len(doc)] - 1 if len(doc) else first
+        return pd.DataFrame(
+            {
+                "doc_id": self.docs[doc[first]], "item_id": item[first], "start": self.begin[where[first]],
+                "end": self.end[where[last] + phrases.k - 1], "words": word[last] - word[first] + phrases.k,
+            }
+        )
+
+
+def _store_items(items: DataFrame, k: int, root: str) -> DataFrame:
+    """``path, words`` of the stored blocks of test items: the file and the different words of each."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // ITEM_BYTES))
-    for b in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).select("item_id", "text").collect()
-        yield [(r.item_id, r.text) for r in block if r.item_id is not None and r.text]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(int(i), t) for pdf in batches for i, t in zip(pdf["item_id"], pdf["text"])]
+        phrases = Phrases(rows, k)
+        if len(phrases.rows):
+            path = f"{root}/items-{uuid.uuid4().hex}.npz"
+            _store(path, phrases.dump())
+            yield pd.DataFrame({"path": [path], "words": [phrases.vocabulary.view(np.int64)]})
+
+    blocks = items.repartition(max(1, -(-int(total) // ITEM_BYTES)), "item_id")
+    return cut(blocks.mapInPandas(run, "path string, words array<bigint>"), "items")
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, k: int = WORDS) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, k: int = WORDS, vocabulary: int = VOCABULARY) -> DataFrame:
     """``doc_id, item_id, start, end, words``: the merged stretches of each item in each document, in characters."""
-    out, spark = None, documents.sparkSession
+    spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, start bigint, end bigint, words bigint"
-    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''")
-    texts = spread(texts)
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(Phrases(block, k))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            shard = _Shard(shared.value)
-            for pdf in batches:
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    shard.add(int(doc_id), text)
-                    if shard.full() and (spans := shard.spans()) is not None:
-                        yield spans
-            if (spans := shard.spans()) is not None:
-                yield spans
-
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    root = fresh_path(spark, "leakage")
+    texts = spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null and text <> ''"))
+    blocks = _store_items(items.select("item_id", "text").where("item_id is not null and text is not null"), k, root)
+    paths = [r.path for r in blocks.select("path").orderBy("path").collect()]
+    words = blocks.select(F.explode("words").alias("w")).distinct()
+    known = [r.w for r in words.limit(vocabulary + 1).collect()]
+    shared = spark.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(np.uint64)) if len(known) <= vocabulary else None)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = _Shard(vocabulary=shared.value, k=k)
+
+        def close() -> Iterator[pd.DataFrame]:
+            if (made := shard.index()) is not None:
+                path = f"{root}/shard-{uuid.uuid4().hex}.npz"
+                _store(path, made.dump())
+                yield pd.DataFrame({"path": [path]})
+
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                shard.add(int(doc_id), text)
+                if shard.full():
+                    yield from close()
+        yield from close()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                made = Indexed.load(_fetch(path))
+                for block in paths:
+                    yield made.spans(Phrases.load(_fetch(block)))
+
+    shards = cut(texts.mapInPandas(index, "path string"), "shards")
+    return shards.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInPandas(search, schema)

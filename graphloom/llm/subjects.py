@@ -6,8 +6,8 @@ finds which words speak for which subject. Only words enter whose documents' lab
 beyond chance, so that no subject can claim a language or a turn of phrase; sentences that recur, names and numbers
 aside, under all labels alike are set phrases and treat nothing. Sentences of given background texts (test items) are held to no subject.
 
-For any document the fitted model yields, per subject, the share of its topical sentences. On these term features, the
-document's source and its structure a chain of logistic classifiers is trained, one per subject from the most frequent
+For any document the fitted model yields, per subject, the share of its topical sentences. On these shares, the counts of
+the terms that speak most for each subject, the document's source and its structure a chain of logistic classifiers is trained, one per subject from the most frequent
 to the rarest, each seeing the decisions before it and so the co-occurrence of subjects. Scores are calibrated on
 held-out documents, and a beam search decodes the likeliest combination of labels.
 
@@ -31,10 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import cut
 from graphloom.plans.spread import spread
 
 SAMPLE_DOCS = 12_000
 SAMPLE_CHARS = 16_000_000
+BACKGROUND_CHARS = 2_000_000
 #: A term speaks for subjects if the divergence of its labels is this large, in nats and as likelihood-ratio statistic.
 DIVERGENCE, SIGNIFICANCE = 0.25, 18.0
 #: A sentence that recurs in so many labelled documents with less divergence is a set phrase.
@@ -104,6 +106,7 @@ class Model:
     sources: dict[str, int]
     phrases: frozenset[str] = frozenset()
     frame: frozenset[str] = frozenset()
+    leading: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     order: list[int] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     scale: list[tuple[float, float]] = field(default_factory=list)
@@ -212,7 +215,9 @@ def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str
         resp = _soft(_evidence(tokens, lengths, logp) + np.log(mix + 1e-9)[owner]) if len(owner) else resp
     told = resp[lengths > 0]
     prior = (told.sum(axis=0) + 1.0) / (told.sum() + classes)
-    return Model(subjects, terms, logp, prior, sources, frozenset(phrases), frame)
+    model = Model(subjects, terms, logp, prior, sources, frozenset(phrases), frame)
+    model.leading = top_terms(model)
+    return model
 
 
 def describe(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,17 +240,48 @@ def describe(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.
     return counts / np.maximum(total, 1)[:, None], total
 
 
-def _features(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list, j: int) -> np.ndarray:
-    """Inputs of the classifier of subject ``j`` but for the decisions before it."""
+#: A label less likely than this under a first fit is held for wrong.
+UNLIKELY = 0.3
+#: A document treats a subject from this share of its topical sentences on. That is how the task defines it; a labelled sample
+#: holds too few documents near the line to learn it, so the side of the line is an input beside the share itself.
+TREATED = 0.2
+#: Terms that speak for or against each subject most enter the chain themselves.
+TOP_TERMS = 24
+
+
+def top_terms(model: Model) -> np.ndarray:
+    """Terms whose likelihood under some subject differs most from that under all others; ``TOP_TERMS`` a subject."""
+    if not len(model.logp):
+        return np.zeros(0, np.int64)
+    lift = model.logp - np.log(np.exp(model.logp).mean(axis=1, keepdims=True))
+    weight = np.exp(model.logp) * lift
+    return np.unique(np.argsort(-weight[:, 1:], axis=0, kind="stable")[:TOP_TERMS])
+
+
+def term_features(model: Model, docs: list[list[list[str]]]) -> np.ndarray:
+    """How often each of the model's leading terms stands in a document, damped."""
+    tokens, lengths, owner = _encode(docs, model.terms, model.phrases, model.frame)
+    out = np.zeros((len(docs), len(model.leading)))
+    if len(tokens) and len(model.leading):
+        at = np.full(len(model.terms), -1)
+        at[model.leading] = np.arange(len(model.leading))
+        rows, cols = np.repeat(owner, lengths), at[tokens]
+        np.add.at(out, (rows[cols >= 0], cols[cols >= 0]), 1.0)
+    return 0.1 * np.log1p(out)
+
+
+def _features(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list, j: int, terms: np.ndarray) -> np.ndarray:
+    """Inputs of the classifier of subject ``j`` but for the decisions before it: terms, structure and source."""
     s = share[:, j]
     where = np.zeros((len(s), len(model.sources)))
     for i, x in enumerate(source):
         if x in model.sources:
             where[i, model.sources[x]] = 1.0
-    near = np.clip((s - 0.2) / 0.05, -3, 3)
     rival = np.delete(share, j, axis=1).max(axis=1, initial=0.0)
-    both = (s >= 0.2 - 1e-9) & (rival >= 0.2 - 1e-9)
-    return np.column_stack([np.ones(len(s)), s, near, s >= 0.2 - 1e-9, both, both * s, s >= 0.35, total > 0, np.log1p(total), structure, 0.3 * where])
+    treated = s >= TREATED - 1e-9
+    both = treated & (rival >= TREATED - 1e-9)
+    near = np.tanh((s - TREATED) / 0.05)
+    return np.column_stack([np.ones(len(s)), s, near, treated, both, both * s, total > 0, np.log1p(total), structure, 0.3 * where, terms])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -262,20 +298,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_chain(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list, truth: np.ndarray) -> None:
+def fit_chain(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list, truth: np.ndarray, terms: np.ndarray) -> None:
     """Train the chain on four fifths of the documents and calibrate each link on the rest.
 
-    Documents whose labels plainly contradict their sentences (a subject of a third of them unlabelled, a labelled one of
-    hardly any) count as labelled wrongly and are left out of this step.
+    Labels are noisy: a first fit of every subject alone tells how likely each label is, and documents with a label of less
+    than ``UNLIKELY`` are left out of the chain's own training.
     """
-    sure = ~(((share >= 0.35) & (truth == 0)) | ((share < 0.05) & (truth > 0))).any(axis=1)
+    sure = np.ones(len(truth), bool)
+    for j in range(truth.shape[1]):
+        x = _features(model, share, total, structure, source, j, terms)
+        z = np.clip(x @ _logistic(x, truth[:, j]), -30, 30)
+        sure &= 1 / (1 + np.exp(np.where(truth[:, j] > 0, -z, z))) >= UNLIKELY
     if sure.sum() >= 50:
-        share, total, structure, truth = share[sure], total[sure], structure[sure], truth[sure]
+        share, total, structure, truth, terms = share[sure], total[sure], structure[sure], truth[sure], terms[sure]
         source = [x for x, keep in zip(source, sure) if keep]
     held = np.arange(len(truth)) % 5 == 4
     model.order = list(np.argsort(-truth.sum(axis=0), kind="stable"))
     for n, j in enumerate(model.order):
-        x = np.column_stack([_features(model, share, total, structure, source, j), truth[:, model.order[:n]]])
+        x = np.column_stack([_features(model, share, total, structure, source, j, terms), truth[:, model.order[:n]]])
         w = _logistic(x[~held], truth[~held, j])
         score = x[held] @ w
         a, b = 1.0, 0.0
@@ -285,12 +325,13 @@ def fit_chain(model: Model, share: np.ndarray, total: np.ndarray, structure: np.
         model.scale.append((float(a), float(b)) if a > 0 else (1.0, 0.0))
 
 
-def decode(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list) -> np.ndarray:
+def decode(model: Model, share: np.ndarray, total: np.ndarray, structure: np.ndarray, source: list, terms: np.ndarray | None = None) -> np.ndarray:
     """Likeliest label combination of every document, by beam search along the chain."""
     n, k = share.shape
+    terms = np.zeros((n, len(model.leading))) if terms is None else terms
     beams = [(np.zeros(n), np.zeros((n, 0)))]
     for step, j in enumerate(model.order):
-        base, w, (a, b) = _features(model, share, total, structure, source, j), model.weights[step], model.scale[step]
+        base, w, (a, b) = _features(model, share, total, structure, source, j, terms), model.weights[step], model.scale[step]
         fixed, tail = base @ w[: base.shape[1]], w[base.shape[1] :]
         grown = []
         for score, labels in beams:
@@ -311,11 +352,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
     name = F.lower(F.trim(F.regexp_replace("subject", r"[\s ]+", " ")))
     known = labels.select("doc_id", name.alias("s")).where(F.col("s").isin([*map(str.lower, subjects), "none"]) & F.col("doc_id").isNotNull())
     per_doc = known.groupBy("doc_id").agg(F.collect_set("s").alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    joined = documents.select("doc_id", "text", "source").where("text is not null").join(F.broadcast(per_doc), "doc_id")
-    size = joined.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > SAMPLE_CHARS:
-        joined = joined.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < F.lit(int((1 << 20) * SAMPLE_CHARS / size)))
-    return joined.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    joined = cut(documents.select("doc_id", "text", "source").where("text is not null").join(F.broadcast(per_doc), "doc_id"), "sample")
+    return _bounded(joined, "doc_id", SAMPLE_CHARS).toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+
+
+def _bounded(texts: DataFrame, key: str, chars: int) -> DataFrame:
+    """About ``chars`` characters of the texts, chosen by hash of their key; all of them if they are fewer."""
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return texts if size <= chars else texts.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 20)) < F.lit(int((1 << 20) * chars / size)))
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: list[str], background: list[str] = ()) -> Model | None:
@@ -336,7 +380,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], backgrou
     sources = {x: i for i, (x, n) in enumerate(sorted(common.items(), key=lambda e: (-e[1], e[0]))[:32]) if n >= 20}
     model = fit_terms(docs, truth, subjects, sources, plain)
     share, total = describe(model, docs)
-    fit_chain(model, share, total, structure, list(sample["source"]), truth)
+    fit_chain(model, share, total, structure, list(sample["source"]), truth, term_features(model, docs))
     return model
 
 
@@ -352,8 +396,9 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         for pdf in batches:
             split = [sentences(t) for t in pdf["text"]]
-            share, total = describe(m, [s for s, _ in split])
-            found = decode(m, share, total, np.array([f for _, f in split]).reshape(-1, STRUCTURE), list(pdf["source"]))
+            docs = [s for s, _ in split]
+            share, total = describe(m, docs)
+            found = decode(m, share, total, np.array([f for _, f in split]).reshape(-1, STRUCTURE), list(pdf["source"]), term_features(m, docs))
             d, s = np.nonzero(found)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": np.array(m.subjects, object)[s]})
 
@@ -362,7 +407,10 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, background: DataFrame | None = None) -> DataFrame:
-    """Train on the labels and classify all documents. ``subjects`` and ``background`` are small fixed tables."""
+    """Train on the labels and classify all documents. ``subjects`` is a small fixed table; of ``background`` at most about
+    ``BACKGROUND_CHARS`` characters take part in the training."""
     names = [r.subject for r in subjects.select("subject").where("subject is not null").distinct().orderBy("subject").collect()]
-    plain = [r.text for r in background.select("text").where("text is not null").collect()] if background is not None else []
+    plain = []
+    if background is not None:
+        plain = [r.text for r in _bounded(background.select("text").where("text is not null").distinct(), "text", BACKGROUND_CHARS).orderBy("text").collect()]
     return classify(documents, train(documents, labels, names, plain))

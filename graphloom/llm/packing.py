@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.scratch import cut
 from graphloom.plans.spread import spread
 
 WINDOW = 20_000
@@ -127,13 +128,13 @@ def pack(sized: DataFrame, capacity: int, window: int = WINDOW) -> DataFrame:
 
     ``part`` is 0 for items that stay whole; longer ones have parts 0, 1, … in text order.
     """
-    items = sized.where("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
-    items, n = _counted(items)
-    windows = max(1, -(-n // window))
     cap = F.lit(capacity)
     parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / cap)).cast("int")
+    items = cut(sized.where("doc_id is not null").groupBy("doc_id").agg(F.max("tokens").alias("tokens")), "items")
+    n = items.agg(F.sum(parts)).first()[0] or 0
+    windows = max(1, -(-n // window))
     pieces = items.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(windows)).alias("w"),
+        F.pmod(F.xxhash64("doc_id", "part"), F.lit(windows)).alias("w"),
         "doc_id",
         "part",
         F.least(cap.cast("bigint"), F.col("tokens") - F.col("part") * cap).cast("bigint").alias("tokens"),
@@ -147,18 +148,31 @@ def pack(sized: DataFrame, capacity: int, window: int = WINDOW) -> DataFrame:
     return pieces.groupBy("w").applyInPandas(run, "doc_id bigint, part int, tokens bigint, bin_id bigint")
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, int]:
-    from graphloom.plans.scratch import cut
-
-    df = cut(df, "items")
-    return df, df.count()
-
-
 def pack_documents(documents: DataFrame, capacity: int = 2048, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """:func:`pack` over the token counts of whole texts."""
     return pack(spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")), capacity, window)
 
 
+def packing_faults(documents: DataFrame, packed: DataFrame, capacity: int, tightness: float = 1.01) -> DataFrame:
+    """One row ``documents, missing, repeated, cut_without_need, overfull, incomplete, tight``: what a packing owes.
+
+    ``missing`` and ``repeated`` documents, documents cut though they fit, containers above ``capacity``, documents whose
+    parts do not run from 0 on, and whether the containers exceed the fewest possible by no more than the factor
+    ``tightness`` and two a window.
+    """
+    doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"))
+    wanted = documents.select("doc_id").where("doc_id is not null").distinct()
+    joined = wanted.join(doc, "doc_id", "full").join(wanted.withColumn("_known", F.lit(True)), "doc_id", "left")
+    state = joined.agg(
+        F.count_if("_known").alias("documents"), F.count_if(F.col("rows").isNull()).alias("missing"), F.count_if(F.col("rows") > F.col("parts")).alias("repeated"),
+        F.count_if((F.col("parts") > 1) & (F.col("tokens") <= capacity)).alias("cut_without_need"), F.count_if(F.col("last") + 1 != F.col("parts")).alias("incomplete"),
+    )
+    bins = packed.groupBy("bin_id").agg(F.sum("tokens").alias("tokens"))
+    windows = F.countDistinct(F.shiftright("bin_id", BIN_BITS))
+    filled = bins.agg(F.count_if(F.col("tokens") > capacity).alias("overfull"), (F.count(F.lit(1)) <= F.ceil(F.sum("tokens") / capacity) * tightness + 2 * windows).alias("tight"))
+    return state.join(F.broadcast(filled)).select("documents", "missing", "repeated", "cut_without_need", "overfull", "incomplete", "tight")
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """``capacity, items, bins, tokens, unused_share`` of a packing."""
     per_bin = packed.groupBy("bin_id").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"))

@@ -10,7 +10,7 @@ from graphloom.llm.components import components, links, node_groups
 from graphloom.llm.copies import collapse, copy_members, entity_records, node_records
 from graphloom.llm.handwritten import foreign_files
 from graphloom.llm.leakage import leaked_spans
-from graphloom.llm.packing import fill_report, pack, pack_documents, token_count
+from graphloom.llm.packing import fill_report, pack, pack_documents, packing_faults, token_count
 from graphloom.llm.subjects import subject_areas
 from graphloom.plans.scratch import cut
 from graphloom.sources.tables import table
@@ -107,6 +107,18 @@ def p7_pack_8192(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents", "doc_id", "text"), 8192)
 
 
+@query(
+    "p7_faults",
+    "SELECT c.capacity::INT AS capacity, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS missing, 0::BIGINT AS repeated, 0::BIGINT AS cut_without_need, 0::BIGINT AS overfull, 0::BIGINT AS incomplete, true AS tight FROM (VALUES (2048), (8192)) c(capacity)",
+)
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What a packing of all documents owes at both capacities: every document once and whole, no container above its capacity."""
+    documents = table(spark, d, "documents", "doc_id", "text")
+    sized = cut(documents.select("doc_id", token_count(F.col("text")).alias("tokens")), "sized")
+    part = lambda c: packing_faults(documents, cut(pack(sized, c), "packed"), c).select(F.lit(c).alias("capacity"), "*")
+    return part(2048).unionByName(part(8192))
+
+
 @query("p7_fill")
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     sized = cut(table(spark, d, "documents", "doc_id", "text").select("doc_id", token_count(F.col("text")).alias("tokens")), "sized")

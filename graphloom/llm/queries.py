@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components, links, node_groups
 from graphloom.llm.copies import collapse, copy_members, entity_records, node_records
-from graphloom.llm.handwritten import foreign_files
+from graphloom.llm.handwritten import KEYWORDS, foreign_files
 from graphloom.llm.leakage import leaked_spans
 from graphloom.llm.packing import fill_report, pack, pack_documents, packing_faults, token_count
 from graphloom.llm.subjects import subject_areas
@@ -144,12 +144,38 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
-@query("p3_reasons")
+_KEYWORDS = ", ".join(f"'{k}'" for k in sorted(KEYWORDS))
+#: Every file judged by itself, in the gaps between the families of these tables, and every pair of files compared.
+_P3 = rf"""
+WITH f AS (SELECT DISTINCT path, repo, text FROM source_files WHERE path IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''),
+b AS (SELECT *, replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'),
+  '(?m)^([ \t]*)#[ \t]*(include|define|if|endif|else|pragma)\b', '\1' || chr(1) || '\2', 'g'), '(?m)^[ \t]*(//|#|--[ \t])[^\n]*$', '', 'g'), chr(1), '#') AS body FROM f),
+t AS (SELECT path, repo, text, body, regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_$]*|(?s:"{{3}}.*?"{{3}})|(?s:''{{3}}.*?''{{3}})|`[^`]*`?|"(?:[^"\\\n]|\\.)*"?|''(?:[^''\\\n]|\\.)*''?|[0-9][0-9A-Za-z_.]*|\$[A-Za-z0-9_$]*|[^\sA-Za-z0-9_]') AS w FROM b),
+m AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^["''`0-9]') THEN 'L' WHEN NOT regexp_matches(x, '^[A-Za-z_$]') THEN x WHEN lower(x) IN ({_KEYWORDS}) THEN lower(x) ELSE 'I' END) AS k FROM t WHERE len(w) > 0),
+d AS (SELECT path, repo, text, w, len(w) AS n,
+  len(list_distinct(list_transform(range(1, greatest(2, len(k) - 3)), lambda i: array_to_string(k[i:i + 4], ' ')))) / len(w) AS repeats,
+  list_sum(list_transform(list_filter(w, lambda x: regexp_matches(x, '^["''`0-9]')), lambda x: length(regexp_replace(x, '\s', '', 'g')))) / length(regexp_replace(body, '\s', '', 'g')) AS literal,
+  list_avg(list_transform(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> ''), lambda x: length(trim(x)))) AS line,
+  list_avg(list_transform(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z_$]') AND lower(x) NOT IN ({_KEYWORDS})), lambda x: length(x))) AS name FROM m),
+g AS (SELECT path, repo, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], chr(2))))) AS s FROM d),
+size AS (SELECT path, repo, count(*) AS n FROM g GROUP BY ALL),
+pairs AS (SELECT a.path AS p, c.path AS q, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS both_ FROM g a JOIN g c ON a.s = c.s AND a.repo < c.repo
+  JOIN size x ON x.path = a.path AND x.repo = a.repo JOIN size y ON y.path = c.path AND y.repo = c.repo GROUP BY a.path, a.repo, c.path, c.repo),
+copies AS (SELECT unnest([p, q]) AS path FROM pairs WHERE both_ >= 0.8 * (m + n - both_)),
+lead AS (SELECT path, regexp_extract(text, '(?s)^\s*(?:(?:(?:#|//|--)[^\n]*(?:\n|$)\s*)|/\*.*?\*/\s*)+') AS head FROM f),
+r AS (SELECT path, CASE WHEN literal >= 0.55 THEN 'data' WHEN line >= 150 AND name < 3 THEN 'minified' WHEN repeats < 0.08 THEN 'generated' END AS reason FROM d
+  UNION SELECT path, 'vendored' FROM copies
+  UNION SELECT path, 'vendored' FROM lead WHERE regexp_matches(head, '(?im)^\W*[\w.\-]+ - version \d|^\W*[\w.\-]+ v?\d+\.\d+\.\d+\b|\b(imported|copied) (\w+ )?from\b|\bvendored from\b|^\W*upstream:\s|\bredistribution and use in source\b')
+  UNION SELECT path, 'vendored' FROM f WHERE regexp_matches(path, '/(vendor|vendored|third_party|third-party|3rdparty|node_modules|bower_components|external|deps|Pods)/[^/]+/'))
+"""
+
+
+@query("p3_reasons", _P3 + "SELECT DISTINCT path, reason FROM r WHERE reason IS NOT NULL")
 def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return foreign_files(table(spark, d, "source_files", "path", "repo", "text"))
 
 
-@query("p3_found")
+@query("p3_found", _P3 + "SELECT DISTINCT path FROM r WHERE reason IS NOT NULL")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_reasons(spark, d).select("path").distinct()
 

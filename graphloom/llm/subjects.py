@@ -220,9 +220,13 @@ def fit_terms(docs: list[list[list[str]]], truth: np.ndarray, subjects: list[str
     return model
 
 
-def describe(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+def encode(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _encode(docs, model.terms, model.phrases, model.frame)
+
+
+def describe(model: Model, docs: list[list[list[str]]], encoded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Per document: share of each subject among its topical sentences, and the number of those."""
-    tokens, lengths, owner = _encode(docs, model.terms, model.phrases, model.frame)
+    tokens, lengths, owner = encode(model, docs) if encoded is None else encoded
     n, classes = len(docs), model.logp.shape[1]
     if not len(owner):
         return np.zeros((n, classes - 1)), np.zeros(n)
@@ -246,7 +250,7 @@ UNLIKELY = 0.3
 #: holds too few documents near the line to learn it, so the side of the line is an input beside the share itself.
 TREATED = 0.2
 #: Terms that speak for or against each subject most enter the chain themselves.
-TOP_TERMS = 24
+TOP_TERMS = 6
 
 
 def top_terms(model: Model) -> np.ndarray:
@@ -258,10 +262,10 @@ def top_terms(model: Model) -> np.ndarray:
     return np.unique(np.argsort(-weight[:, 1:], axis=0, kind="stable")[:TOP_TERMS])
 
 
-def term_features(model: Model, docs: list[list[list[str]]]) -> np.ndarray:
-    """How often each of the model's leading terms stands in a document, damped."""
-    tokens, lengths, owner = _encode(docs, model.terms, model.phrases, model.frame)
-    out = np.zeros((len(docs), len(model.leading)))
+def term_features(model: Model, n: int, encoded: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each of the model's leading terms stands in each of ``n`` encoded documents, damped."""
+    tokens, lengths, owner = encoded
+    out = np.zeros((n, len(model.leading)))
     if len(tokens) and len(model.leading):
         at = np.full(len(model.terms), -1)
         at[model.leading] = np.arange(len(model.leading))
@@ -379,8 +383,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], backgrou
     common = Counter(x for x in sample["source"] if x)
     sources = {x: i for i, (x, n) in enumerate(sorted(common.items(), key=lambda e: (-e[1], e[0]))[:32]) if n >= 20}
     model = fit_terms(docs, truth, subjects, sources, plain)
-    share, total = describe(model, docs)
-    fit_chain(model, share, total, structure, list(sample["source"]), truth, term_features(model, docs))
+    encoded = encode(model, docs)
+    share, total = describe(model, docs, encoded)
+    fit_chain(model, share, total, structure, list(sample["source"]), truth, term_features(model, len(docs), encoded))
     return model
 
 
@@ -397,8 +402,9 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
         for pdf in batches:
             split = [sentences(t) for t in pdf["text"]]
             docs = [s for s, _ in split]
-            share, total = describe(m, docs)
-            found = decode(m, share, total, np.array([f for _, f in split]).reshape(-1, STRUCTURE), list(pdf["source"]), term_features(m, docs))
+            encoded = encode(m, docs)
+            share, total = describe(m, docs, encoded)
+            found = decode(m, share, total, np.array([f for _, f in split]).reshape(-1, STRUCTURE), list(pdf["source"]), term_features(m, len(docs), encoded))
             d, s = np.nonzero(found)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[d], "subject": np.array(m.subjects, object)[s]})
 

@@ -85,12 +85,11 @@ class Tokens(dict):
         literal, name = 0, False
         if c in "\"'`" or c.isdigit():
             masked, literal = "L", len("".join(t.split()))
-            t_ = t if len(t) < 64 else t[:48] + str(len(t)) + t[-8:]
         else:
-            t_, low = t, t.lower()
+            low = t.lower()
             name = (c.isalpha() or c in "_$") and low not in KEYWORDS
             masked = "I" if name else low
-        self.table[n] = xxhash.xxh3_64_intdigest(t_), xxhash.xxh3_64_intdigest(masked)
+        self.table[n] = xxhash.xxh3_64_intdigest(t), xxhash.xxh3_64_intdigest(masked)
         self.chars[n] = literal, name, len(t) if name else 0
         self[t] = n
         return n

@@ -59,6 +59,24 @@ def test_very_long_text():
     assert p["literal"] > 0.4 and len(band_keys(p["written"], 4, 4)) == 4
 
 
+def test_long_literals_are_compared_whole(spark):
+    def messages(seed, mark, digit):
+        r = random.Random(seed)
+        text = mark + "the same beginning " * 4 + digit + " and the same end" * 2 + mark
+        return "".join(f"export function {r.choice(NOUNS)}{i}({r.choice(NOUNS)}) {{ {r.choice(NOUNS)}.{r.choice(NOUNS)}({text}); }}\n" for i in range(12))
+
+    data = [("/a/equal.js", "r1", messages(9, "`", "4"), 0), ("/b/equal.js", "r2", messages(9, "`", "4"), 0)]
+    for i, mark in enumerate(('"', "'", "`", '"""', "'''")):
+        data += [(f"/a/other{i}.js", "r1", messages(i, mark, "4"), 0), (f"/b/other{i}.js", "r2", messages(i, mark, "7"), 0)]
+    found = foreign_files(spark.createDataFrame(data, SCHEMA)).where("reason = 'vendored'")
+    assert sorted(x.path for x in found.collect()) == ["/a/equal.js", "/b/equal.js"]
+
+
+def test_long_numbers_are_compared_whole():
+    a, b = ("x = " + "1" * 60 + d + "1" * 60 + "\n" for d in "27")
+    assert profile(a, Hasher())["written"].tolist() != profile(b, Hasher())["written"].tolist()
+
+
 def test_members_of_different_centres_are_compared(spark):
     sets = {"1": range(0, 100), "2": range(30, 130), "3": range(10, 110), "4": range(20, 120), "5": range(500, 600)}
     rows = [(k, list(s), [7]) for k, s in sets.items()]

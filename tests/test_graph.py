@@ -12,7 +12,7 @@ from graphloom.operators import analyze, build, diff
 from graphloom.operators.centrality import betweenness
 from graphloom.operators.communities import detect, modularity, split_communities, with_communities
 from graphloom.operators.components import components
-from graphloom.operators.entity_resolution import fuzzy_candidates, resolve_entities
+from graphloom.operators.entity_resolution import fuzzy_candidates, fuzzy_matches, resolve_entities, scored_pairs
 from graphloom.operators.paths import shortest_path
 from graphloom.operators.resolve import resolve_calls, resolve_imports, resolve_inheritance, resolve_methods
 
@@ -204,6 +204,19 @@ def test_dedup(spark):
     assert (g.nodes.count(), g.edges.count()) == (3, 2)
 
 
+def test_fuzzy_matches_are_the_candidates_of_enough_score(spark):
+    """Labels that all share one gram, in two buckets and communities; only alike pairs leave the task that compares them."""
+    r = random.Random(9)
+    labels = ["zzz " + "".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(150)]
+    labels += [x[:-1] + "q" for x in labels[:60]]
+    kinds = ("function", "module")
+    nodes = g_of(spark, [(f"x:{kinds[i % 2]}:{i:03d}", x, "", f"c{i % 3}") for i, x in enumerate(labels * 2)], []).nodes
+    pairs = scored_pairs(nodes, fuzzy_candidates(nodes)).collect()
+    assert pairs
+    for least in (92.0, 75.0):
+        assert {(a.u, a.v, a.score) for a in fuzzy_matches(nodes, least).collect()} == {(a.u, a.v, a.score) for a in pairs if a.score >= least}
+
+
 def test_fuzzy_candidates_against_all_pairs(spark):
     r = random.Random(4)
     labels = ["".join(r.choice("abcdef") for _ in range(r.randrange(6, 14))) for _ in range(40)]

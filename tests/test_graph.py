@@ -8,7 +8,7 @@ from graphloom.catalog.graph import QUERIES
 from graphloom.engine import Engine
 from graphloom.functions import scalar as fn
 from graphloom.model import EDGE_SCHEMA, HYPEREDGE_SCHEMA, Graph, graph, tpch_graph
-from graphloom.operators import analyze, build, diff
+from graphloom.operators import analyze, build, centrality, diff
 from graphloom.operators.centrality import betweenness
 from graphloom.operators.communities import detect, modularity, split_communities, with_communities
 from graphloom.operators.components import components
@@ -118,6 +118,19 @@ def test_betweenness_with_cycles_against_brute_force(spark):
         assert dict(rows(betweenness(g, block=5, broadcast_links=limit))) == pytest.approx(want)
 
 
+def test_betweenness_of_a_forest_needs_no_search(spark, monkeypatch):
+    """Two trees of three levels and a pair, named so that leaves come before and after what they hang on."""
+
+    def search(*_):
+        raise AssertionError("an adjacency was made for searches")
+
+    monkeypatch.setattr(centrality, "_index", search)
+    edges = [("m", x) for x in ("a", "n", "z")] + [("a", f"a{i}") for i in range(3)] + [("z", f"b{i}") for i in range(4)]
+    got = dict(rows(betweenness(g_of(spark, sorted({x for e in edges for x in e}) + ["p", "q", "lone"], [*edges, ("p", "q")]))))
+    assert {k: v for k, v in got.items() if v} == {"m": 5 * 4 + 4 + 5, "a": 3 + 3 * 7, "z": 6 + 4 * 6}
+    assert set(got) >= {"p", "q", "lone", "a0", "b3"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 @pytest.mark.parametrize("name", ["betweenness_whole", "leiden"])
 def test_registered_on_the_whole_graph(spark, name):

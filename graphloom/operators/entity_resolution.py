@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalar import display_label, entropy, jaro_winkler, merge_bucket, normalize_label, shingles, winner_score
 from graphloom.model import EDGE_FIELDS, Graph
 from graphloom.operators.build import attach, first_per_key
-from graphloom.operators.components import components
+from graphloom.operators.components import star_roots, undirected
 from graphloom.plans.scratch import cut
 
 MIN_ENTROPY = 2.5
@@ -143,14 +143,22 @@ def resolve_entities(g: Graph, decide: Callable[[DataFrame], DataFrame] | None =
     the remap; loops go, and of equal (source, target, relation) the greatest confidence stays. ``decide`` may confirm
     doubtful pairs (u, v, score) by returning those to merge.
     """
-    nodes = first_per_key(g.nodes, ["id"], ["label"])
-    sure = exact_links(nodes).unionByName(fuzzy_matches(nodes).select("u", "v"))
+    first = first_per_key(g.nodes, ["id"], ["label"])
+    nodes = cut(first.select("id", "label", "community", "filetype"), "nodes")
+    # Equals stand for their least id; only what the fuzzy pass links needs components.
+    keyed = nodes.select("id", "filetype", merge_bucket().alias("b"), normalize_label(display_label()).alias("n"))
+    least = keyed.where("n <> ''").groupBy("b", "n").agg(F.min("id").alias("rep"))
+    equal = cut(keyed.join(least, ["b", "n"], "left").select("id", "filetype", F.coalesce("rep", "id").alias("rep")), "equal")
+    sure = fuzzy_matches(nodes).select("u", "v")
     if decide is not None:
         sure = sure.unionByName(decide(doubtful_pairs(nodes)).select("u", "v"))
-    roots = components(nodes, sure.where("u <> v").distinct())
-    best = nodes.join(roots, "id").groupBy("root").agg(F.min(winner_score()).alias("w")).select("root", F.col("w.id").alias("winner"))
-    remap = roots.join(best, "root").where("id <> winner").select("id", "winner")
-    kept = nodes.join(remap, "id", "left_anti").select(*nodes.columns)
+    for end in ("u", "v"):
+        sure = sure.join(equal.select(F.col("id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+    roots = star_roots(cut(undirected(sure, "u", "v"), "sure")).withColumnRenamed("x", "rep")
+    member = cut(equal.join(roots, "rep", "left").select("id", "filetype", F.coalesce("root", "rep").alias("root")), "member")
+    best = member.groupBy("root").agg(F.min(winner_score()).alias("w")).select("root", F.col("w.id").alias("winner"))
+    remap = member.join(best, "root").where("id <> winner").select("id", "winner")
+    kept = first.join(remap, "id", "left_anti").select(*first.columns)
     edges = g.edges
     for end in ("source", "target"):
         edges = attach(edges, remap.select(F.col("id").alias(end), F.col("winner").alias("_w")), end, "left", g.edges).withColumn(end, F.coalesce("_w", end)).drop("_w")

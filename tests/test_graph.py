@@ -8,7 +8,7 @@ from graphloom.catalog.graph import QUERIES
 from graphloom.engine import Engine
 from graphloom.functions import scalar as fn
 from graphloom.model import EDGE_SCHEMA, HYPEREDGE_SCHEMA, Graph, graph, tpch_graph
-from graphloom.operators import analyze, build, centrality, diff
+from graphloom.operators import analyze, build, centrality, diff, entity_resolution
 from graphloom.operators.centrality import betweenness
 from graphloom.operators.communities import detect, modularity, split_communities, with_communities
 from graphloom.operators.components import components
@@ -217,6 +217,20 @@ def test_dedup(spark):
     assert (g.nodes.count(), g.edges.count()) == (3, 2)
 
 
+def test_dedup_links_equals_without_components(spark, monkeypatch):
+    """Chains of equals and alike labels end in one winner; stars are given the links between distinct labels alone."""
+    given = []
+    stars = entity_resolution.star_roots
+    monkeypatch.setattr(entity_resolution, "star_roots", lambda links: given.append(links.count()) or stars(links))
+    labels = ["extractGraphNodes"] * 20 + ["extract_graph_nodes"] * 20 + ["extractGraphNodes2"] * 20 + ["somethingElse"] * 5 + ["!!"] * 2
+    _, remap = resolve_entities(g_of(spark, [(f"x:function:{i:02d}", x, "", "", "code") for i, x in enumerate(labels)], []))
+    got = dict(rows(remap))
+    assert len(given) == 1 and 0 < given[0] <= 3
+    assert {k for k, v in got.items() if v == "x:function:60"} == {f"x:function:{i}" for i in range(61, 65)}
+    assert set(got) & {"x:function:65", "x:function:66"} == set()
+    assert {v for k, v in got.items() if k < "x:function:60"} == {"x:function:00"} and sum(k < "x:function:60" for k in got) == 59
+
+
 def test_fuzzy_matches_are_the_candidates_of_enough_score(spark):
     """Labels that all share one gram, in two buckets and communities; only alike pairs leave the task that compares them."""
     r = random.Random(9)

@@ -131,6 +131,12 @@ def test_betweenness_of_a_forest_needs_no_search(spark, monkeypatch):
     assert set(got) >= {"p", "q", "lone", "a0", "b3"}
 
 
+def test_bridge_nodes_of_a_forest_need_no_search(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "_index", None)
+    g = g_of(spark, ["m", "a", "n", "z", "a0", "a1"], [("m", x) for x in "anz"] + [("a", "a0"), ("a", "a1")])
+    assert [tuple(r) for r in centrality.bridge_nodes(g).collect()] == [("a", "a", 7.0), ("m", "m", 7.0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 @pytest.mark.parametrize("name", ["betweenness_whole", "leiden"])
 def test_registered_on_the_whole_graph(spark, name):
